@@ -312,7 +312,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_name: str = "tex
     weights, at = fitted(), pages.columns.index(html_col)
     fields = [f for f in pages.schema.fields if f.name not in (html_col, text_name)]
     rest = [i for i, f in enumerate(pages.schema.fields) if f.name not in (html_col, text_name)]
-    schema = StructType(fields).add(text_name, "string")
+    schema = StructType(list(fields)).add(text_name, "string")
 
     def run(batches):
         for b in batches:
