@@ -2,15 +2,18 @@
 
 Normalised lines are exploded and hashed to 128 bits, documents are counted
 per hash, and the lines over the threshold are dropped by position.  All of
-it is DataFrame operations; counts are combined before each shuffle, and the
-join with the frequent lines is a sort-merge join whose hot keys adaptive
-execution splits.
+it is DataFrame operations; counts are combined before each shuffle.  The
+frequent lines are written to the shared folder, so that both sides of the
+join with them are shuffled for that join alone and adaptive execution can
+split a hot key over many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stratagraph.scratch import materialise
+
 from .text import SPACE_CHARS, ascii_lower, fresh, key128
 
 
@@ -35,7 +38,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_co
     each = hashed.select("d", F.explode(F.array_distinct(F.filter("k", lambda x: x.isNotNull()))).alias("k")).select("d", "k.a", "k.b")
     often = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs)
     spots = hashed.select("d", "t", F.posexplode("k").alias("p", "k")).where("k is not null").select("d", "t", "p", "k.a", "k.b")
-    lost = spots.join(often.select("a", "b", "last"), ["a", "b"]).where(~F.col("d").eqNullSafe(F.col("last")))
+    often = materialise(often.select("a", "b", "last"), "frequent")
+    lost = spots.join(often, ["a", "b"]).where(~F.col("d").eqNullSafe(F.col("last")))
     return lost.groupBy("d", "t").agg(F.collect_set("p").alias("positions"))
 
 
