@@ -124,7 +124,7 @@ class Model:
 
         letter = regex.compile(r"\p{L}").search
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        bits = self.code_lengths(raw)
+        bits = np.concatenate([self.code_lengths(part) for part in _parts(raw)])
         out = []
         for t, b, row in zip(texts, raw, bits):
             if t is None or not letter(t) or not self.langs:
@@ -135,6 +135,20 @@ class Model:
         return out
 
 
+def _parts(texts: list[bytes]):
+    """Runs of texts of about ``SLICE`` bytes, so that memory doesn't grow with a batch; one at least."""
+    at = 0
+    while True:
+        to, size = at, 0
+        while to < len(texts) and (size == 0 or size + len(texts[to]) <= SLICE):
+            size += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        if to == len(texts):
+            return
+        at = to
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in ``lang_col`` from at most ``TRAIN_DOCS`` documents and ``TRAIN_BYTES`` bytes of each.
 
@@ -142,11 +156,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     held = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 4 == 2
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held).select(F.col(id_col).alias("d"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    counts = {r["l"]: r["count"] for r in labelled.groupBy("l").count().limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages; so many are told apart at most")
+    langs = sorted(counts)
+    # by hash, about eight times as many as are wanted come to the ranking, however many there are
+    share = F.coalesce(*[F.when(F.col("l") == x, F.lit(int(min(1.0, 8 * TRAIN_DOCS / counts[x]) * (1 << 32)))) for x in langs], F.lit(0))
+    few = labelled.select("d", "l").where(F.pmod(F.xxhash64(F.lit(5), "d"), F.lit(1 << 32)) < share)
     first = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d")
-    chosen = labelled.select("d", "l").withColumn("k", F.row_number().over(first)).where(F.col("k") <= TRAIN_DOCS).select("d", "l").collect()  # bounded: TRAIN_DOCS a language
-    langs = sorted({r["l"] for r in chosen})
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS} are told apart")
+    chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= TRAIN_DOCS).select("d", "l").collect()  # bounded: TRAIN_DOCS a language
     ids = [r["d"] for r in chosen if r["d"] is not None]
     rows = labelled.where(F.col("d").isin(ids)).select("d", "l", F.expr(f"left(t, {TRAIN_BYTES})").alias("t")).collect() if ids else []
     texts: dict[str, list[bytes]] = {x: [] for x in langs}
