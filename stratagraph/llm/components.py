@@ -1,10 +1,11 @@
-"""Connected components of links, by contraction in rounds.
+"""Connected components of links, by random contraction in rounds.
 
-In a round every node points at its least neighbour (or itself), pointers are
-followed once, and links are carried over to what their ends point at; a
-round costs a few shuffles of the links that are left, and a star or a chain
-of any length is gone after few rounds.  Each round is written to the shared
-folder, so that lineage stays short.
+In a round every node points at the one of itself and its neighbours whose
+hash, another one each round, is least; pointers are followed once, and links
+are carried over to what their ends point at.  A node with a neighbour stays
+with a chance of a half at most, whatever the shape of the links, so that
+rounds are few and their sizes fall geometrically.  Each round is written to
+the shared folder, so that lineage stays short.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     edges = links.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     edges = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
     edges = materialise(edges, "links")
-    maps = []
+    maps: list[DataFrame] = []
     while not edges.isEmpty():
+        ranked = lambda c, k=len(maps): F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("n"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        to = materialise(least.select("node", F.least("node", "m").alias("to")), "pointers")
+        least = both.groupBy(F.col("u").alias("node")).agg(F.min(ranked("v")).alias("m"))
+        to = materialise(least.select("node", F.least(ranked("node"), "m")["n"].alias("to")), "pointers")
         onward = to.select(F.col("node").alias("to"), F.col("to").alias("further")).where("`to` != further")
-        jumped = to.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-        jumped = materialise(jumped, "jumps")
+        jumped = materialise(to.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "jumps")
         discard(to)
         a = jumped.where("node != `to`").select(F.col("node").alias("u"), F.col("to").alias("a"))
         b = a.select(F.col("u").alias("v"), F.col("a").alias("b"))
@@ -42,8 +43,11 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         maps.append(jumped)
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = maps[0].withColumnRenamed("to", "root")
-    for step in maps[1:]:
-        moved = step.where("node != `to`").select(F.col("node").alias("root"), "to")
-        out = out.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return out
+    # from the last round back, so that a round's nodes are joined once
+    found = maps[-1].withColumnRenamed("to", "name")
+    for step in reversed(maps[:-1]):
+        later = found.select(F.col("node").alias("to"), "name")
+        found = step.join(later, "to", "left").select("node", F.coalesce("name", "to").alias("name"))
+    found = materialise(found, "named")
+    roots = materialise(found.groupBy("name").agg(F.min("node").alias("root")), "roots")
+    return found.join(roots, "name").select("node", "root")
