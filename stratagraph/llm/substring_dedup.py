@@ -15,8 +15,9 @@ document id, then place) are to be removed.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -32,7 +33,7 @@ BANDS = 2
 #: Words that a run of repeated paragraphs must have.
 LEAST_RUN = 24
 #: Members of a bucket that are compared in one task; more are dealt out by pairs of chunks.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: Words that are cut at once; words whose hashes a Python worker remembers.
 SLICE, MEMO = 1 << 18, 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -141,29 +142,68 @@ def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w0 int, w1 int, " + ", ".join(f"m{k} long" for k in range(BANDS)))
 
 
-def _link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket that join what is similar, as a forest.
+class _Bucket:
+    """Joins the similar ones of paragraphs with a band key in common.
 
-    A paragraph is compared with the members of each class that it isn't in
-    until one is similar, so that no class is missed.
+    Two sets of similarity 0.8 share one of the first ``n - ceil(0.8 n) + 1``
+    of their ``n`` members in order, so that only paragraphs that do are
+    compared; of the paragraphs of a class, until one is similar.
     """
-    rows = rows.sort_values("a")
-    sets, names = [set(x) for x in rows["s"]], rows["a"].tolist()
-    classes: list[list[int]] = []
-    out = []
-    for i, s in enumerate(sets):
-        near, far = [i], []
-        for c in classes:
-            for j in reversed(c):
-                both = len(s & sets[j])
-                if both >= SIMILARITY * (len(s) + len(sets[j]) - both):
-                    near = c + near
-                    out.append((names[i], names[j]))
-                    break
-            else:
-                far.append(c)
-        classes = [*far, near]
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    def __init__(self):
+        self.sets: list[frozenset] = []
+        self.parent: list[int] = []
+        self.by_first: dict[int, dict[int, list[int]]] = {}  # shingle, class, members
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def add(self, shingles: list[int]) -> list[int]:
+        """Takes a paragraph in; returns one member of each class that it joins."""
+        s, me = frozenset(shingles), len(self.sets)
+        self.sets.append(s)
+        self.parent.append(me)
+        joined = []
+        for h in sorted(s)[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1]:
+            classes = self.by_first.setdefault(h, {})
+            for c in list(classes):
+                root = self.find(c)
+                if root != c:
+                    classes.setdefault(root, []).extend(classes.pop(c))
+            for c, members in classes.items():
+                mine = self.find(me)
+                if self.find(c) == mine:
+                    continue
+                for j in reversed(members):
+                    both = len(s & self.sets[j])
+                    if both >= SIMILARITY * (len(s) + len(self.sets[j]) - both) - 1e-9:
+                        root = self.find(c)
+                        joined.append(root)
+                        self.parent[max(root, mine)] = min(root, mine)
+                        break
+            classes.setdefault(self.find(me), []).append(me)
+        return joined
+
+
+def _link(batches):
+    """Links of paragraphs (``key``, ``i``, ``j``, ``a``, ``s``), in order of bucket, as a forest."""
+    bucket, names, at, u, v = _Bucket(), [], None, [], []
+    for batch in batches:
+        keys_, i, j, a = (batch.column(k).to_pylist() for k in range(4))
+        for k, name, s in zip(zip(keys_, i, j), a, batch.column(4).to_pylist()):
+            if k != at:
+                bucket, names, at = _Bucket(), [], k
+            names.append(name)
+            for root in bucket.add(s):
+                u.append(names[root])
+                v.append(name)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            u, v = [], []
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame) -> DataFrame:
@@ -171,18 +211,34 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame)
     spots = where.groupBy(F.col("d").alias("e")).agg(F.collect_list(F.struct("a", "w0", "w1")).alias("p"))
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(spots, F.col("d").eqNullSafe(F.col("e"))).select("t", "p")
 
+    def table(names: list, parts: list[list[bytes]]) -> pa.RecordBatch:
+        of = _words.__getitem__
+        hashes = np.array([h for p in parts for h in map(of, p)], np.uint64)
+        end = np.cumsum([len(p) for p in parts])
+        begin = np.append(0, end[:-1])
+        # rows of one id may have different texts
+        right = keys(hashes, begin, end)[0].view(np.int64) == np.array(names, np.int64)
+        inside = np.arange(len(hashes)) + SHINGLE <= np.repeat(end, end - begin)
+        inside &= np.repeat(right, end - begin)
+        shingles = np.append(_rolled(hashes), np.zeros(min(len(hashes), SHINGLE - 1), np.uint64))[inside].view(np.int64)
+        offsets = np.append(0, np.cumsum((end - begin - SHINGLE + 1)[right])).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[right]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles))], names=["a", "s"])
+
     def run(batches):
         for batch in batches:
-            names, sets = [], []
+            names, parts = [], []
             for t, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, _ = split_words([t])
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
                 for p in spots:
-                    part = hashes[p["w0"] : p["w1"]]
-                    # rows of one id may have different texts
-                    if len(part) == p["w1"] - p["w0"] and int(keys(part, np.zeros(1, np.int64), np.array([len(part)]))[0].view(np.int64)[0]) == p["a"]:
+                    part = words[p["w0"] : p["w1"]]
+                    if len(part) == p["w1"] - p["w0"]:
                         names.append(p["a"])
-                        sets.append(np.unique(_rolled(part)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["a", "s"])
+                        parts.append(part)
+                if len(parts) > SLICE >> 4:
+                    yield table(names, parts)
+                    names, parts = [], []
+            if parts:
+                yield table(names, parts)
 
     return rows.mapInArrow(run, "a long, s array<long>").dropDuplicates(["a"])
 
@@ -216,8 +272,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     once = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("chunks"))
     dealt = member.select("a", "key").join(once, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("a", "key", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j")).join(sets, "a")
-    links = dealt.groupBy("key", "i", "j").applyInPandas(_link, "u long, v long")
+    dealt = dealt.select("key", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "a").join(sets, "a").select("key", "i", "j", "a", "s")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link, "u long, v long")
     roots = connected_components(links).withColumnRenamed("node", "a")
     places = spots.select("d", "a", "w0", "w1").distinct().join(roots, "a", "left").select("d", "w0", "w1", F.coalesce("root", "a").alias("class"))
     places = materialise(places, "places")
