@@ -16,6 +16,7 @@ document id, then place) are to be removed.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -142,68 +143,67 @@ def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w0 int, w1 int, " + ", ".join(f"m{k} long" for k in range(BANDS)))
 
 
-class _Bucket:
-    """Joins the similar ones of paragraphs with a band key in common.
+def similar_links(sets: list[frozenset]) -> list[tuple[int, int]]:
+    """Links that join the similar ones of some sets, as a forest.
 
-    Two sets of similarity 0.8 share one of the first ``n - ceil(0.8 n) + 1``
-    of their ``n`` members in order, so that only paragraphs that do are
-    compared; of the paragraphs of a class, until one is similar.
+    With members in order of how few sets have them, two sets of similarity
+    0.8 share one of the first ``n - ceil(0.8 n) + 1`` of their ``n`` members,
+    so that only sets that do are compared; and of the sets of a class, until
+    one is similar.
     """
-
-    def __init__(self):
-        self.sets: list[frozenset] = []
-        self.parent: list[int] = []
-        self.by_first: dict[int, dict[int, list[int]]] = {}  # shingle, class, members
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
+    often = Counter(h for s in sets for h in s)
+    parent = list(range(len(sets)))
+    by_first: dict[int, dict[int, list[int]]] = {}  # member, class, sets
+    links = []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
-    def add(self, shingles: list[int]) -> list[int]:
-        """Takes a paragraph in; returns one member of each class that it joins."""
-        s, me = frozenset(shingles), len(self.sets)
-        self.sets.append(s)
-        self.parent.append(me)
-        joined = []
-        for h in sorted(s)[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1]:
-            classes = self.by_first.setdefault(h, {})
-            for c in list(classes):
-                root = self.find(c)
-                if root != c:
-                    classes.setdefault(root, []).extend(classes.pop(c))
+    for me, s in enumerate(sets):
+        for h in sorted(s, key=lambda h: (often[h], h))[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1]:
+            if often[h] == 1:
+                continue
+            classes = by_first.setdefault(h, {})
+            for c in [c for c in classes if parent[c] != c]:
+                classes.setdefault(find(c), []).extend(classes.pop(c))
             for c, members in classes.items():
-                mine = self.find(me)
-                if self.find(c) == mine:
+                mine = find(me)
+                if find(c) == mine:
                     continue
                 for j in reversed(members):
-                    both = len(s & self.sets[j])
-                    if both >= SIMILARITY * (len(s) + len(self.sets[j]) - both) - 1e-9:
-                        root = self.find(c)
-                        joined.append(root)
-                        self.parent[max(root, mine)] = min(root, mine)
+                    both = len(s & sets[j])
+                    if both >= SIMILARITY * (len(s) + len(sets[j]) - both) - 1e-9:
+                        root = find(c)
+                        links.append((root, me))
+                        parent[max(root, mine)] = min(root, mine)
                         break
-            classes.setdefault(self.find(me), []).append(me)
-        return joined
+            classes.setdefault(find(me), []).append(me)
+    return links
 
 
 def _link(batches):
-    """Links of paragraphs (``key``, ``i``, ``j``, ``a``, ``s``), in order of bucket, as a forest."""
-    bucket, names, at, u, v = _Bucket(), [], None, [], []
+    """Links of paragraphs (``key``, ``i``, ``j``, ``a``, ``s``), which come in order of bucket."""
+    names, sets, at = [], [], None
+
+    def links() -> list[tuple[int, int]]:
+        return [(names[x], names[y]) for x, y in similar_links(sets)]
+
+    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
     for batch in batches:
-        keys_, i, j, a = (batch.column(k).to_pylist() for k in range(4))
-        for k, name, s in zip(zip(keys_, i, j), a, batch.column(4).to_pylist()):
+        found = []
+        for k, name, s in zip(zip(*(batch.column(c).to_pylist() for c in range(3))), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             if k != at:
-                bucket, names, at = _Bucket(), [], k
+                found += links()
+                names, sets, at = [], [], k
             names.append(name)
-            for root in bucket.add(s):
-                u.append(names[root])
-                v.append(name)
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-            u, v = [], []
+            sets.append(frozenset(s))
+        yield table(found)
+    yield table(links())
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame) -> DataFrame:
@@ -261,6 +261,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cuts = _cut_all(docs, id_col, text_col)
     # what shares no band with another occurrence can be left out
     often = _banded(cuts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    often = materialise(often, "often")  # so that a hot key's rows can be split over tasks
     spots = materialise(_banded(cuts, "d", "a", "w0", "w1").join(often, "key").select("key", "d", "a", "w0", "w1"), "spots")
     by_text = spots.groupBy("key", "a").agg(F.min(F.struct("d", "w0", "w1")).alias("at"))
     mixed = spots.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
@@ -278,10 +279,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links).withColumnRenamed("node", "a")
     places = spots.select("d", "a", "w0", "w1").distinct().join(roots, "a", "left").select("d", "w0", "w1", F.coalesce("root", "a").alias("class"))
     places = materialise(places, "places")
-    for x in (spots, member, sets):
+    for x in (often, spots, member, sets):
         discard(x)
     shared = places.groupBy("class").agg(F.min(F.struct("d", "w0")).alias("f"), F.min(F.struct(F.coalesce(F.col("d").cast("string"), F.lit("")))).alias("x"), F.max(F.struct(F.coalesce(F.col("d").cast("string"), F.lit("")))).alias("y")).where("x != y")
-    found = places.join(shared.select("class", "f"), "class")
+    shared = materialise(shared.select("class", "f"), "shared")
+    found = places.join(shared, "class")
     # runs of paragraphs that follow each other, within a document
     in_doc = Window.partitionBy("d").orderBy("w0", "w1")
     found = found.withColumn("new", (F.col("w0") != F.coalesce(F.lag("w1").over(in_doc), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(in_doc))
