@@ -170,9 +170,9 @@ def containing_nodes(nodes: DataFrame, places: DataFrame) -> DataFrame:
     is picked by an aggregate that combines before the shuffle.
     """
     keys = places.columns
-    n = nodes.select("repo_path", "file_path", "start_line", "end_line", F.col("id").alias("node_id"), "node_type", "seq")
-    inside = (F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line"))
+    n = nodes.select("repo_path", "file_path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), F.col("id").alias("node_id"), F.col("node_type").alias("_kind"), F.col("seq").alias("_seq"))
+    inside = F.col("line").between(F.col("_from"), F.col("_to"))
     both = places.join(n, ["repo_path", "file_path"]).where(inside)
-    method = F.col("node_type") == "method"
-    order = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.when(method, 0).otherwise(1).alias("kind"), F.when(method, -F.col("seq")).otherwise(F.col("seq")).alias("seq"), "node_id")
+    method = F.col("_kind") == "method"
+    order = F.struct((F.col("_to") - F.col("_from")).alias("span"), F.when(method, 0).otherwise(1).alias("kind"), F.when(method, -F.col("_seq")).otherwise(F.col("_seq")).alias("seq"), "node_id")
     return both.groupBy(*keys).agg(F.min(order).alias("m")).select(*keys, F.col("m.node_id").alias("node_id"))

@@ -101,7 +101,11 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame, visibility: str = "full")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(tails, F.array().cast("array<string>"))))
     in_module = n.select(F.col("file_path").alias("module_file"), F.explode(names).alias("sought"), "seq", "id").groupBy("module_file", "sought").agg(F.min(place).alias("at"))
-    hinted = ends.where(~top & F.col("module").isNotNull()).join(module_files(nodes), "module").join(in_module, ["module_file", "sought"])
+    hinted = ends.where(~top & F.col("module").isNotNull()).join(module_files(nodes), "module")
+    if not sequential:  # of a call a.b.f() the extractor says b.f in a.b
+        own_name = F.concat(F.element_at(F.split("module", r"\."), -1), F.lit("."))
+        hinted = hinted.withColumn("sought", F.when(F.startswith("sought", own_name), F.substr("sought", F.length(own_name) + 1)).otherwise(F.col("sought")))
+    hinted = hinted.join(in_module, ["module_file", "sought"])
     if sequential:
         hinted = hinted.where("module_file <= file_path")
     found += [hit(hinted, 2), hit(ends.where(~top).join(in_file, ["file_path", "sought"]), 3)]
