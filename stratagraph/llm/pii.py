@@ -132,7 +132,14 @@ def training_spans(per_kind: int = SPANS_PER_KIND, seed: int = 7) -> dict[str, l
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("aeiou" if i % 2 else "bcdfghlmnprst") for i in range(r.randint(2, 9)))
-    prose = lambda: " ".join(word() for _ in range(5))[-20:] + " "
+    cue = re.compile("(?i)" + "|".join([*_FOR.values(), _AGAINST])).search
+
+    def prose() -> str:
+        """Words that speak neither for nor against any kind."""
+        while cue(text := " ".join(word() for _ in range(5))[-20:] + " "):
+            pass
+        return text
+
     near = lambda words: f"{prose()[-9:]}{r.choice(words)}{r.choice([': ', ' ', ' is '])}"
     against = ["order no.", "Invoice", "version", "ISBN", "serial", "build", "part no.", "page", "ref", "Total", "table", "section", "figure", "score"]
 
