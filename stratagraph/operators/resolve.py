@@ -8,9 +8,10 @@ that a join never multiplies rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import EDGE_KIND_OF, NODE_KIND_OF
+from ..scratch import numbered
 
 MODULE = "<module>"
 
@@ -40,8 +41,8 @@ def nodes_of(extracted: DataFrame, repo_path: str, modules: bool = True) -> Data
         ))
     rows = rows.withColumn("id", F.concat_ws(":", "file_path", "name", F.col("start_line").cast("string")))
     rows = rows.groupBy("id").agg(F.max_by(F.struct(*rows.drop("id").columns), F.col("ordinal")).alias("r")).select("id", "r.*")
-    # a number per file from its rank among files, and the place within; the ranking sees one row per file
-    files = rows.select("file_path").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file_path")).cast("long"))
+    # a file's rank among files, and the place within it
+    files = numbered(rows.select("file_path").distinct().orderBy("file_path"), "rank")
     rows = rows.join(files, "file_path").withColumn("seq", F.col("rank") * F.lit(1 << 24) + F.col("ordinal") + 1)
     return rows.select("id", F.lit(repo_path).alias("repo_path"), "file_path", "node_type", "name", "qualified_name", "start_line", "start_column", "end_line", "end_column", "signature", "docstring", "metadata", "seq")
 

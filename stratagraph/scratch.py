@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +43,21 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def numbered(rows: DataFrame, name: str, after: int = 0) -> DataFrame:
+    """``rows`` with consecutive numbers from ``after + 1``, in the order of sorted rows.
+
+    Rows are written with their partition and their place in it, partitions
+    are counted, and each row's number follows from the sums of the counts;
+    no task sees more than its own partition.
+    """
+    tagged = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
+    tagged = materialise(tagged, "numbered")
+    starts, total = [], after
+    for r in tagged.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        starts.append((r["_part"], total + 1))
+        total += r["count"]
+    first = rows.sparkSession.createDataFrame(starts, "_part int, _first long")
+    both = tagged.join(F.broadcast(first), "_part")  # as many rows as partitions
+    return both.withColumn(name, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")

@@ -16,6 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .schema import GRAPH_VERSION, PROFILE_VERSION, TABLES
+from .scratch import numbered
 
 #: Versions kept of each table; readers of older ones must have ended.
 KEPT = 3
@@ -186,7 +187,7 @@ class Store:
             if n != good:
                 raise ValueError(f"{n - good} edges have an end that is no node")
         last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        self.write("edges", old.unionByName(_numbered(new, last)))
+        self.write("edges", old.unionByName(numbered(new.drop("id"), "id", last)))
         return self.edges.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
     def clear_repo(self, repo_path: str) -> int:
@@ -267,19 +268,3 @@ class Store:
         if n:
             self.write("frame_symbol_mappings", self.mappings.limit(0))
         return n
-
-
-def _numbered(rows: DataFrame, after: int) -> DataFrame:
-    """Consecutive ids from ``after + 1``, without gathering the rows in one task.
-
-    Rows are counted by partition first; each partition then numbers its own.
-    """
-    tagged = rows.drop("id").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = {r["_part"]: r["count"] for r in tagged.groupBy("_part").count().collect()}  # a row for each partition
-    start, total = {}, after
-    for part in sorted(counts):
-        start[part], total = total + 1, total + counts[part]
-    if not start:
-        return rows
-    first = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_part"))
-    return tagged.withColumn("id", (first + F.col("_at") % F.lit(1 << 33)).cast("long")).drop("_part", "_at")
