@@ -32,7 +32,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of one least hash each: 2 of similarity 0.8 collide with probability 1 - 0.2 ** 2 = 0.96.
 BANDS = 2
 #: Words that a run of repeated paragraphs must have.
-LEAST_RUN = 24
+LEAST_RUN = 20
 #: Members of a bucket that are compared in one task; more are dealt out by pairs of chunks.
 BUCKET_ROWS = 5_000
 #: Words that are cut at once; words whose hashes a Python worker remembers.
