@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import store
 from ..functions import frames
 from ..operators import correlate, graph, profiles, resolve
-from ..sources.repo import excluded
+from ..sources.extract import default_registry, extract_files
+from ..sources.repo import excluded, has_extension, infer_language
 
 SYMBOL, REPO = "red plate", "F"
 DAY_1, DAY_2 = "2024-01-02", "2024-01-03"
@@ -417,3 +418,99 @@ def resolve_edges(t: Tables) -> DataFrame:
 def exclude_patterns(t: Tables) -> DataFrame:
     paths = t.read("part").select(F.concat_ws("/", "p_brand", "p_type").alias("file_path")).distinct()
     return paths.select("file_path", (~excluded(F.col("file_path"), ["Brand#1/**", "**/ECONOMY/**", "**/SMALL"])).alias("kept"))
+
+
+# --- sources: files are made from rows, so that SQL knows what extractors must find ---
+
+
+def _extracted(t: Tables, path: str, content: str) -> DataFrame:
+    """What an extractor finds in one file a part; ``{k}`` is the part's key, ``{m}`` the key modulo 7."""
+    key = F.col("p_partkey").cast("string")
+    fill = lambda s: F.replace(F.replace(F.lit(s), F.lit("{k}"), key), F.lit("{m}"), F.pmod("p_partkey", F.lit(7)).cast("string"))
+    files = t.read("part").select(fill(path).alias("file_path"), F.encode(fill(content), "UTF-8").alias("content"))
+    rows = extract_files(files, default_registry()).where("record != 'file'")
+    return rows.select("file_path", "record", F.coalesce("node_type", "edge_type").alias("kind"), F.coalesce("qualified_name", "source_name").alias("name"), "target_name", "signature", "start_line", F.coalesce("end_line", "start_line").alias("end_line"))
+
+
+def _expected(path: str, *rows: tuple[str, str, str, str | None, str | None, int, int | None]) -> str:
+    def text(x) -> str:
+        if x is None:
+            return "null"
+        return str(x) if isinstance(x, int) else "replace(replace('" + x.replace("'", "''") + "', '{k}', p_partkey::varchar), '{m}', (p_partkey % 7)::varchar)"
+
+    names = ("file_path", "record", "kind", "name", "target_name", "signature", "start_line", "end_line")
+    kinds = ("varchar",) * 6 + ("int",) * 2
+    return " union all ".join("select " + ", ".join(f"{text(x)}::{k} as {n}" for x, k, n in zip((path, *row[:-1], row[-2] if row[-1] is None else row[-1]), kinds, names)) + " from part" for row in rows)
+
+
+@_query(_expected(
+    "src/p{k}.py", ("node", "import", "lib.call_{m}", None, None, 1, 1), ("edge", "imports", "<module>", "lib.call_{m}", None, 1, None), ("node", "class", "C{k}", None, None, 2, 4),
+    ("edge", "inherits", "C{k}", "Base", None, 2, None), ("node", "method", "C{k}.run", None, "async def run(self, x: int=1) -> str", 3, 4), ("edge", "calls", "C{k}.run", "call_{m}", None, 4, None),
+))
+def extract_python(t: Tables) -> DataFrame:
+    return _extracted(t, "src/p{k}.py", "from lib import call_{m}\nclass C{k}(Base):\n    async def run(self, x: int=1) -> str:\n        return call_{m}(x)\n")
+
+
+@_query(_expected(
+    "p{k}.cs", ("node", "namespace", "N", None, None, 1, 3), ("node", "class", "N.C{k}", None, None, 2, 2), ("edge", "inherits", "N.C{k}", "Base", None, 2, None), ("edge", "implements", "N.C{k}", "IRun", None, 2, None),
+    ("node", "method", "N.C{k}.M{m}", None, "void M{m}(int a)", 2, 2), ("edge", "calls", "C{k}.M{m}", "other.Call", None, 2, None),
+))
+def extract_csharp(t: Tables) -> DataFrame:
+    return _extracted(t, "p{k}.cs", "namespace N {\npublic class C{k} : Base, IRun { void M{m}(int a) { other.Call(a); } }\n}\n")
+
+
+@_query(_expected(
+    "p{k}.go", ("node", "package", "shop", None, None, 1, 1), ("node", "import", "a/fmt", None, None, 2, 2), ("edge", "imports", "<module>", "a/fmt", None, 2, None),
+    ("node", "method", "shop.T{k}.Do", None, "func (t *T{k}) Do(n int) error", 3, 5), ("edge", "calls", "T{k}.Do", "Print", None, 4, None), ("edge", "calls", "T{k}.Do", "call{m}", None, 4, None),
+))
+def extract_go(t: Tables) -> DataFrame:
+    return _extracted(t, "p{k}.go", 'package shop\nimport "a/fmt"\nfunc (t *T{k}) Do(n int) error {\n\treturn fmt.Print(call{m}(n))\n}\n')
+
+
+@_query(_expected(
+    "p{k}.php", ("node", "function", "f_{k}", None, "function f_{k}($x): int", 2, 2), ("edge", "calls", "f_{k}", "g_{m}", None, 2, None), ("edge", "registers_action", "f_{k}", "hook_{m}", None, 3, None), ("edge", "calls", "<module>", "add_action", None, 3, None),
+))
+def extract_php(t: Tables) -> DataFrame:
+    return _extracted(t, "p{k}.php", "<?php\nfunction f_{k}($x): int { return g_{m}($x); }\nadd_action('hook_{m}', 'f_{k}');\n")
+
+
+@_query(_expected(
+    "p{k}.xaml", ("node", "page", "A.P{k}", None, None, 1, 4), ("node", "named_element", "A.P{k}.b{m}", None, None, 2, 2), ("edge", "event_handler", "p{k}.xaml", "A.P{k}.On{m}", None, 2, None),
+    ("edge", "binding", "p{k}.xaml", "Save{k}", None, 2, None), ("edge", "command", "p{k}.xaml", "Save{k}", None, 2, None),
+))
+def extract_xaml(t: Tables) -> DataFrame:
+    return _extracted(t, "p{k}.xaml", '<Page xmlns:x="http://schemas.microsoft.com/winfx/2006/xaml" x:Class="A.P{k}">\n<Button x:Name="b{m}" Clicked="On{m}" Command="{Binding Save{k}}"/>\n</Page>\n')
+
+
+@_query("""with e as (select ts::date::varchar as day, event_type from events), z as (select day, count(*)::double as whole from e group by day)
+select day || '.json - run' as profile_name, event_type as name, count(*)::double as self_weight, count(*)::double as total_weight, count(*)::bigint as call_count, count(*)::double / any_value(whole) * 100 as self_percentage from e join z using (day) group by day, event_type""")
+def ingest_speedscope(t: Tables) -> DataFrame:
+    """A day's events as a speedscope document: the frames are the event types, each event a sample."""
+    types = ["click", "error", "purchase", "signup", "view"]
+    e = t.read("events").select(F.to_date("ts").cast("string").alias("day"), (F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1).cast("int").alias("f"))
+    days = e.groupBy("day").agg(F.collect_list(F.array("f")).alias("samples"))
+    frames_ = F.array(*[F.struct(F.lit(x).alias("name")) for x in types])
+    profile = F.struct(F.lit("sampled").alias("type"), F.lit("run").alias("name"), F.lit("none").alias("unit"), "samples")
+    texts = days.select(F.concat("day", F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.struct(frames_.alias("frames")).alias("shared"), F.array(profile).alias("profiles"))).alias("json"))
+    bronze = profiles.bronze_profiles(profiles.checked(profiles.parse_speedscope(texts)))
+    stats = profiles.function_stats(bronze).join(bronze.select(F.col("id").alias("profile_id"), F.col("name").alias("profile_name")), "profile_id")
+    return stats.select("profile_name", "name", "self_weight", "total_weight", "call_count", "self_percentage")
+
+
+@_query("""with f as (select 'pkg/' || p_brand || '/m' || p_partkey || case p_partkey % 3 when 0 then '.py' when 1 then '.CS' else '.txt' end as file_path from part)
+select file_path, case when file_path like '%.py' then 'python' when file_path like '%.CS' then 'csharp' end as language, file_path not like '%.txt' as taken from f""")
+def scan_languages(t: Tables) -> DataFrame:
+    end = F.when(F.col("p_partkey") % 3 == 0, ".py").when(F.col("p_partkey") % 3 == 1, ".CS").otherwise(".txt")
+    path = F.concat(F.lit("pkg/"), "p_brand", F.lit("/m"), F.col("p_partkey").cast("string"), end)
+    return t.read("part").select(path.alias("file_path")).select("file_path", infer_language(F.col("file_path")).alias("language"), has_extension(F.col("file_path"), [".py", ".cs"]).alias("taken"))
+
+
+@_query("""select 'p' || p_partkey || '.py:' || p_name || ':' || p_size as id, 'r' as repo_path, 'p' || p_partkey || '.py' as file_path, case p_type when 'ECONOMY' then 'class' when 'STANDARD' then 'function' else 'variable' end as node_type, p_name as name from part""")
+def nodes_of_symbols(t: Tables) -> DataFrame:
+    raw = F.when(F.col("p_type") == "ECONOMY", "Page").when(F.col("p_type") == "STANDARD", "FUNCTION").otherwise("trait")
+    null = lambda kind="string": F.lit(None).cast(kind)
+    rows = t.read("part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("node").alias("record"), F.lit(0).alias("ordinal"), raw.alias("node_type"), F.col("p_name").alias("name"),
+        *[null().alias(c) for c in ("qualified_name", "signature", "docstring", "metadata")], F.col("p_size").cast("int").alias("start_line"), *[null("int").alias(c) for c in ("start_column", "end_line", "end_column")],
+    )
+    return resolve.nodes_of(rows, "r", modules=False).select("id", "repo_path", "file_path", "node_type", "name")
