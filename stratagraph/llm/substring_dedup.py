@@ -258,11 +258,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null, empty or blank text has no paragraph.  Rows of one id are one
     document; a null id is the least.
     """
-    cuts = _cut_all(docs, id_col, text_col)
+    cuts = materialise(_cut_all(docs, id_col, text_col), "cuts")
     # what shares no band with another occurrence can be left out
     often = _banded(cuts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     often = materialise(often, "often")  # so that a hot key's rows can be split over tasks
     spots = materialise(_banded(cuts, "d", "a", "w0", "w1").join(often, "key").select("key", "d", "a", "w0", "w1"), "spots")
+    discard(cuts)
     by_text = spots.groupBy("key", "a").agg(F.min(F.struct("d", "w0", "w1")).alias("at"))
     mixed = spots.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
     member = materialise(by_text.join(mixed, "key").select("key", "a", "at.*"), "members")
