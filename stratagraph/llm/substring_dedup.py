@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratagraph.scratch import discard, materialise
@@ -35,8 +36,8 @@ BANDS = 2
 LEAST_RUN = 20
 #: Members of a bucket that are compared in one task; more are dealt out by pairs of chunks.
 BUCKET_ROWS = 5_000
-#: Words that are cut at once; words whose hashes a Python worker remembers.
-SLICE, MEMO = 1 << 18, 500_000
+#: Bytes of text that are cut at once, about; words whose hashes a Python worker remembers.
+SLICE, MEMO = 1 << 19, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _NONE = np.iinfo(np.uint64).max
 
@@ -114,6 +115,16 @@ def keys(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return own, [np.minimum.reduceat(np.where(inside, _mix(shingles, m), _NONE), begin) for m in _MIX[2 : 2 + BANDS]]
 
 
+def _pieces(batch: pa.RecordBatch, text_at: int):
+    """A batch in runs of rows with about ``SLICE`` bytes of text, one row at least, so that memory doesn't grow with it."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each paragraph with a shingle: ``d``, ``a`` (its hash), first and last word, band keys ``m0``, ``m1``."""
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
@@ -131,14 +142,8 @@ def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < SLICE * 6:  # a word is about 6 characters
-                    size += len(texts[to] or "") + 1
-                    to += 1
-                yield table(batch.column(0).slice(at, to - at), texts[at:to])
-                at = to
+            for piece in _pieces(batch, 1):
+                yield table(piece.column(0), piece.column(1).to_pylist())
 
     return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w0 int, w1 int, " + ", ".join(f"m{k} long" for k in range(BANDS)))
 
@@ -225,16 +230,16 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame)
         return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[right]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles))], names=["a", "s"])
 
     def run(batches):
-        for batch in batches:
+        for piece in (piece for batch in batches for piece in _pieces(batch, 0)):
             names, parts = [], []
-            for t, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, spots in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 words = (t or "").encode("utf-8", "surrogatepass").lower().split()
                 for p in spots:
                     part = words[p["w0"] : p["w1"]]
                     if len(part) == p["w1"] - p["w0"]:
                         names.append(p["a"])
                         parts.append(part)
-                if len(parts) > SLICE >> 4:
+                if len(parts) > SLICE >> 5:
                     yield table(names, parts)
                     names, parts = [], []
             if parts:
