@@ -408,7 +408,7 @@ def resolve_edges(t: Tables) -> DataFrame:
     p = t.read("part")
     nodes = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_partkey").alias("seq"), F.lit("class").alias("node_type"))
     by = lambda a, b: p.select(F.col("p_partkey").alias(a), F.col("p_name").alias(b), F.col("p_brand").alias(f"{b}_brand"))
-    li = t.read("lineitem").where("l_orderkey % 10 = 0").join(by("l_partkey", "source_name"), "l_partkey").join(by("l_suppkey", "target_name"), "l_suppkey")
+    li = t.read("lineitem").join(by("l_partkey", "source_name"), "l_partkey").join(by("l_suppkey", "target_name"), "l_suppkey")
     edges = li.select(F.col("source_name_brand").alias("file_path"), F.struct("l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("u")).alias("ordinal"), "source_name", "target_name", F.lit(None).cast("string").alias("target_module"))
     out = resolve.resolve_edges(nodes, edges)
     return out.select(F.col("ordinal.l_orderkey").alias("ok"), F.col("ordinal.l_linenumber").alias("ln"), "source_id", "target_id")
