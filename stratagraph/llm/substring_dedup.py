@@ -5,11 +5,15 @@ the hash of a word is the least within ``REACH`` words on either side.  The
 cuts depend on the words around them only, so that they fall alike in all
 copies of a passage, and a passage of 50 words holds whole paragraphs.
 
+A text's own paragraphs, its lines and its blocks between blank lines, are
+taken next to these pieces, so that near copies are compared as a whole.  The
+two kinds never mix: the lowest bit of a paragraph's hash tells them apart.
+
 Paragraphs are banded by MinHash over word shingles, equal ones among them.
 Equal paragraphs are then counted as one; different ones that collide are
 verified by their exact Jaccard similarity and linked.  Components of links
 are classes.  Where paragraphs of classes that several documents share make up
-a long enough run of words, all but a class's first occurrence (by least
+a long enough run of words, edited places bridged, all but a class's first occurrence (by least
 document id, then place) are to be removed.
 """
 
@@ -32,8 +36,12 @@ REACH = 5
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of one least hash each: 2 of similarity 0.8 collide with probability 1 - 0.2 ** 2 = 0.96.
 BANDS = 2
+#: Bands of lines and blocks, which are fewer: 3 find 1 - 0.2 ** 3 = 0.992.
+OWN_BANDS = 3
 #: Words that a run of repeated paragraphs must have.
 LEAST_RUN = 20
+#: Words between two repeated paragraphs that a run may bridge, if their classes' first occurrences lie alike.
+GAP = 20
 #: Members of a bucket that are compared in one task; more are dealt out by pairs of chunks.
 BUCKET_ROWS = 5_000
 #: Bytes of text that are cut at once, about; words whose hashes a Python worker remembers.
@@ -77,9 +85,32 @@ def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Words are separated by ASCII white space and compared with A-Z lower-cased.
     """
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    return _hashed([_lines(t) for t in texts])
+
+
+def _lines(text: str | None) -> list[list[bytes]]:
+    """The words of each line of a text."""
+    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().splitlines()]
+
+
+def _hashed(texts: list[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
     of = _words.__getitem__
-    return np.array([h for ws in words for h in map(of, ws)], np.uint64), np.array([len(ws) for ws in words], np.int64)
+    return np.array([h for t in texts for ws in t for h in map(of, ws)], np.uint64), np.array([sum(map(len, t)) for t in texts], np.int64)
+
+
+def own_paragraphs(lines: list[list[bytes]]) -> list[tuple[int, int]]:
+    """First and last word of each line of a text, and of each block between blank lines where there are any."""
+    spans, blocks, at, began = [], [], 0, 0
+    for ws in lines:
+        if ws:
+            spans.append((at, at + len(ws)))
+            at += len(ws)
+        else:
+            blocks.append((began, at))
+            began = at
+    if blocks:
+        blocks.append((began, at))
+    return sorted({(a, b) for a, b in spans + blocks if a < b})
 
 
 def cut(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +146,24 @@ def keys(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return own, [np.minimum.reduceat(np.where(inside, _mix(shingles, m), _NONE), begin) for m in _MIX[2 : 2 + BANDS]]
 
 
+def own_keys(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same of lines and blocks, which may overlap, one after another."""
+    words = end - begin
+    flat = np.arange(words.sum()) + np.repeat(begin - (np.cumsum(words) - words), words)
+    hashes = hashes[flat]
+    end = np.cumsum(words)
+    begin = end - words
+    own = keys(hashes, begin, end)[0]
+    shingles = np.concatenate([_rolled(hashes), np.full(min(len(hashes), SHINGLE - 1), _NONE, np.uint64)])
+    inside = np.arange(len(hashes)) + SHINGLE <= np.repeat(end, words)
+    return own, [np.minimum.reduceat(np.where(inside, _mix(shingles ^ _MIX[k], _MIX[0]), _NONE), begin) for k in range(1, 1 + OWN_BANDS)]
+
+
+def _named(own: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes with the kind, 1 for lines and blocks, as the lowest bit."""
+    return (own & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
+
+
 def _pieces(batch: pa.RecordBatch, text_at: int):
     """A batch in runs of rows with about ``SLICE`` bytes of text, one row at least, so that memory doesn't grow with it."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -126,26 +175,38 @@ def _pieces(batch: pa.RecordBatch, text_at: int):
 
 
 def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each paragraph with a shingle: ``d``, ``a`` (its hash), first and last word, band keys ``m0``, ``m1``."""
+    """A row for each paragraph with a shingle: ``d``, ``a`` (its hash), first and last word, band keys ``m0`` and on."""
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    names = ["d", "a", "w0", "w1", *(f"m{k}" for k in range(BANDS))]
-
-    def table(ids: pa.Array, texts: list) -> pa.RecordBatch:
-        hashes, lengths = split_words(texts)
+    names = ["d", "a", "w0", "w1", *(f"m{k}" for k in range(OWN_BANDS))]
+
+    def table(ids: pa.Array, owner: np.ndarray, own: np.ndarray, w0: np.ndarray, w1: np.ndarray, bands: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(own), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32)), *(pa.array(m.view(np.int64)) for m in bands)]
+        columns += [pa.nulls(len(own), pa.int64())] * (OWN_BANDS - len(bands))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *columns], names=names)
+
+    def tables(ids: pa.Array, texts: list):
+        lines = [_lines(t) for t in texts]
+        hashes, lengths = _hashed(lines)
+        if not len(hashes):
+            return
+        starts = np.cumsum(lengths) - lengths
         begin, end = cut(hashes, lengths)
-        owner = np.repeat(np.arange(len(lengths)), lengths)[begin] if len(begin) else begin
-        start = (np.cumsum(lengths) - lengths)[owner]
-        own, bands = keys(hashes, begin, end) if len(begin) else (hashes, [hashes] * BANDS)
+        owner = np.repeat(np.arange(len(lengths)), lengths)[begin]
+        own, bands = keys(hashes, begin, end)
         some = end - begin >= SHINGLE
-        columns = [own.view(np.int64), (begin - start).astype(np.int32), (end - start).astype(np.int32), *(m.view(np.int64) for m in bands)]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(owner[some])), *(pa.array(c[some]) for c in columns)], names=names)
+        yield table(ids, owner[some], _named(own[some], 0), (begin - starts[owner])[some], (end - starts[owner])[some], [m[some] for m in bands])
+        spans = np.array([(k, a, b) for k, t in enumerate(lines) for a, b in own_paragraphs(t) if b - a >= SHINGLE], np.int64).reshape(-1, 3)
+        if len(spans):
+            owner, w0, w1 = spans.T
+            own, bands = own_keys(hashes, w0 + starts[owner], w1 + starts[owner])
+            yield table(ids, owner, _named(own, 1), w0, w1, bands)
 
     def run(batches):
         for batch in batches:
             for piece in _pieces(batch, 1):
-                yield table(piece.column(0), piece.column(1).to_pylist())
+                yield from tables(piece.column(0), piece.column(1).to_pylist())
 
-    return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w0 int, w1 int, " + ", ".join(f"m{k} long" for k in range(BANDS)))
+    return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w0 int, w1 int, " + ", ".join(f"m{k} long" for k in range(OWN_BANDS)))
 
 
 def similar_links(sets: list[frozenset]) -> list[tuple[int, int]]:
@@ -222,7 +283,7 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame)
         end = np.cumsum([len(p) for p in parts])
         begin = np.append(0, end[:-1])
         # rows of one id may have different texts
-        right = keys(hashes, begin, end)[0].view(np.int64) == np.array(names, np.int64)
+        right = _named(keys(hashes, begin, end)[0], 0) == np.array(names, np.int64) & ~1
         inside = np.arange(len(hashes)) + SHINGLE <= np.repeat(end, end - begin)
         inside &= np.repeat(right, end - begin)
         shingles = np.append(_rolled(hashes), np.zeros(min(len(hashes), SHINGLE - 1), np.uint64))[inside].view(np.int64)
@@ -250,7 +311,8 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame)
 
 def _banded(cuts: DataFrame, *columns: str) -> DataFrame:
     """A row for each band, its number mixed into its key."""
-    each = F.array(*[F.xxhash64(F.lit(k), f"m{k}") if k else F.col("m0") for k in range(BANDS)])
+    each = F.array(*[F.xxhash64(F.lit(k), f"m{k}") if k else F.col("m0") for k in range(OWN_BANDS)])
+    each = F.when(F.col("m2").isNull(), F.slice(each, 1, BANDS)).otherwise(each)
     return cuts.select(*columns, F.explode(each).alias("key"))
 
 
@@ -287,23 +349,51 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = materialise(places, "places")
     for x in (often, spots, member, sets):
         discard(x)
-    shared = places.groupBy("class").agg(F.min(F.struct("d", "w0")).alias("f"), F.min(F.struct(F.coalesce(F.col("d").cast("string"), F.lit("")))).alias("x"), F.max(F.struct(F.coalesce(F.col("d").cast("string"), F.lit("")))).alias("y")).where("x != y")
+    shared = places.groupBy("class").agg(F.min(F.struct("d", "w0", "w1")).alias("f"), F.min(F.struct(F.coalesce(F.col("d").cast("string"), F.lit("")))).alias("x"), F.max(F.struct(F.coalesce(F.col("d").cast("string"), F.lit("")))).alias("y")).where("x != y")
     shared = materialise(shared.select("class", "f"), "shared")
     found = places.join(shared, "class")
-    # runs of paragraphs that follow each other, within a document
-    in_doc = Window.partitionBy("d").orderBy("w0", "w1")
-    found = found.withColumn("new", (F.col("w0") != F.coalesce(F.lag("w1").over(in_doc), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(in_doc))
-    found = found.withColumn("words", F.sum(F.col("w1") - F.col("w0")).over(Window.partitionBy("d", "run"))).where(F.col("words") >= LEAST_RUN)
-    return found.select("d", "w0", "w1", "class", (F.col("d").eqNullSafe(F.col("f.d")) & (F.col("w0") == F.col("f.w0"))).alias("first"))
+    # runs of paragraphs that follow each other, within a document; an edit between is bridged where the firsts lie alike
+    found = found.withColumn("own", F.col("class").bitwiseAND(1))
+    in_doc = Window.partitionBy("d", "own").orderBy("w0", "w1")
+    reached = F.coalesce(F.max("w1").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-GAP - 1))
+    shift = F.col("w0") - F.col("f.w0")
+    alike = F.lag("f.d").over(in_doc).eqNullSafe(F.col("f.d")) & (F.abs(shift - F.lag(shift).over(in_doc)) <= GAP)
+    found = found.withColumn("reached", reached).withColumn("alike", F.coalesce(alike, F.lit(False)))
+    far = F.col("w0") - F.col("reached")
+    found = found.withColumn("new", (~((far <= 0) | (F.col("alike") & (far <= GAP)))).cast("int")).withColumn("run", F.sum("new").over(in_doc))
+    more = F.greatest(F.col("w1") - F.greatest("w0", "reached"), F.lit(0))
+    found = found.withColumn("words", F.sum(more).over(Window.partitionBy("d", "own", "run"))).where(F.col("words") >= LEAST_RUN)
+    # a line and its block may be of one class: what overlaps the first occurrence stays with it
+    first = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("w0") >= F.col("f.w0")) & (F.col("w0") < F.col("f.w1"))
+    return found.select("d", "w0", "w1", "class", first.alias("first"))
+
+
+def _left_over(x, covers):
+    """The spans of ``x`` that none of ``covers``, in order of place, has."""
+    span = lambda a, b: F.struct(a.alias("w0"), b.alias("w1"))
+    none = F.array().cast("array<struct<w0:int,w1:int>>")
+    upto = lambda s, a: F.when(s["at"] < a, F.concat(s["out"], F.array(span(s["at"], a)))).otherwise(s["out"])
+    start = F.struct(x["w0"].alias("at"), none.alias("out"))
+    return F.aggregate(covers, start, lambda s, c: F.struct(F.greatest(s["at"], c["w1"]).alias("at"), upto(s, c["w0"]).alias("out")), lambda s: upto(s, x["w1"]))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """One row per document with a repeated paragraph; spans are words, ``start:end``."""
+    """One row per document with a repeated paragraph; spans are words, ``start:end``.
+
+    Where repeated paragraphs overlap, a piece decides before a line or block,
+    and a shorter one before a longer, so that no word is removed twice and
+    what stays as a first occurrence isn't lost with a line around it.
+    """
     found = repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = F.array_sort(F.collect_list(F.struct("w0", "w1", "class", "first")))
     by_doc = found.groupBy(F.col("d").alias("doc_id")).agg(rows.alias("r"))
     span = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["w0"], x["w1"])), ",")
-    lost = F.filter("r", lambda x: ~x["first"])
+    order = lambda x: F.struct(x["class"].bitwiseAND(1), x["w1"] - x["w0"], x["w0"], x["class"])
+    before = lambda x: F.filter("r", lambda c: (c["w0"] < x["w1"]) & (c["w1"] > x["w0"]) & (order(c) < order(x)))
+    whole = lambda x: F.array(F.struct(x["w0"].alias("w0"), x["w1"].alias("w1")))
+    parts = F.transform(F.filter("r", lambda x: ~x["first"]), lambda x: F.when(x["class"].bitwiseAND(1) == 0, whole(x)).otherwise(_left_over(x, before(x))))
+    by_doc = by_doc.withColumn("lost", F.array_sort(F.flatten(parts)))
+    lost = F.col("lost")
     return by_doc.select(
         "doc_id",
         F.size("r").cast("long").alias("n_repeated"),

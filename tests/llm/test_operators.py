@@ -301,6 +301,44 @@ def test_cuts_do_not_depend_on_the_batch():
     assert got == one
 
 
+def test_near_copies_of_paragraphs(spark):
+    """One word in the middle of 51 is changed, so that the exact Jaccard similarity is 42 / 52."""
+    r = random.Random(14)
+    rows = []
+    for k in range(40):
+        passage = [f"w{r.randrange(20_000)}" for _ in range(51)]
+        rows.append((2 * k, prose(r, 30) + "\n" + " ".join(passage) + "\n" + prose(r, 30)))
+        passage[25] = "changed"
+        wrapped = " ".join(passage[:17]) + "\n" + " ".join(passage[17:])
+        rows.append((2 * k + 1, prose(r, 20) + "\n\n" + wrapped + "\n \n" + prose(r, 20)))
+    found = substring_dedup.repeated_paragraphs(docs(spark, rows)).collect()
+    whole = {x["d"] for x in found if x["w1"] - x["w0"] == 51 and not x["first"]}
+    assert len(whole) >= 38 and all(d % 2 for d in whole)
+
+
+def test_own_paragraphs():
+    lines = substring_dedup._lines("A b\nc\r\n \nd e f\n\n")
+    assert substring_dedup.own_paragraphs(lines) == [(0, 2), (0, 3), (2, 3), (3, 6)]
+    assert substring_dedup.own_paragraphs(substring_dedup._lines("a b\nc")) == [(0, 2), (2, 3)]
+
+
+def test_no_word_is_removed_twice(spark, tmp_path):
+    r = random.Random(15)
+    near = [prose(r, 60).split() for _ in range(6)]
+    rows = []
+    for d in range(12):
+        ps = [list(p) for p in near]
+        for p in ps:
+            p[r.randrange(60)] = f"x{d}"
+        rows.append((d, "\n\n".join(" ".join(p[:30]) + "\n" + " ".join(p[30:]) for p in ps)))
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for x in substring_dedup.op7_substring_dedup(spark, str(tmp_path)).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in x["removed"].split(",") if s]
+        words = [w for a, b in spans for w in range(a, b)]
+        assert len(words) == len(set(words)) == x["n_words_removed"] and len(spans) == x["n_removed"]
+        assert x["doc_id"] == 0 and not words or x["doc_id"] and len(words) > 200
+
+
 # --- 8 ---
 
 
