@@ -1,9 +1,9 @@
 """Substring dedup by MinHash banding of paragraphs.
 
 Passages are found wherever they stand: a text is cut into paragraphs where
-the hash of a word is the least within ``REACH`` words on either side.  The
-cuts depend on the words around them only, so that they fall alike in all
-copies of a passage, and a passage of 50 words holds whole paragraphs.
+the hash of ``WINDOW`` words is the least within ``REACH`` places on either
+side.  The cuts depend on the words around them only, so that they fall alike
+in all copies of a passage, and a passage of 50 words holds whole paragraphs.
 
 A text's own paragraphs, its lines and its blocks between blank lines, are
 taken next to these pieces, so that near copies are compared as a whole.  The
@@ -31,8 +31,9 @@ from stratagraph.scratch import discard, materialise
 
 from .components import connected_components
 
-#: Words on either side within which a cut's word has the least hash: paragraphs have 6 to about 20 words.
-REACH = 5
+#: Words that are hashed together for a cut, so that one very frequent word doesn't rule where cuts fall; places on
+#: either side within which a cut has the least hash. 11 words decide on a cut; paragraphs have 5 to about 20.
+WINDOW, REACH = 3, 4
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of one least hash each: 2 of similarity 0.8 collide with probability 1 - 0.2 ** 2 = 0.96.
 BANDS = 2
@@ -114,19 +115,40 @@ def own_paragraphs(lines: list[list[bytes]]) -> list[tuple[int, int]]:
 
 
 def cut(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where paragraphs begin and end: at each text's first word, and each word whose hash is the least around."""
-    if not len(hashes):
+    """Where paragraphs begin and end: at each text's first word, and where the hash of ``WINDOW`` words is the least around.
+
+    Of equal ones within reach of each other the first is a cut, and then each
+    that is over twice ``REACH`` words from the cut before, so that periodic
+    text is cut too.
+    """
+    n = len(hashes)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    mixed = _mix(hashes, _MIX[0])
     texts = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(hashes)) + REACH * (texts + 1)  # what lies between texts is greater than any
-    padded = np.full(len(hashes) + REACH * (len(lengths) + 1), _NONE, np.uint64)
-    padded[at] = mixed
-    first = (mixed == _least(padded, 2 * REACH + 1)[at - REACH]) & (mixed < _least(padded, REACH)[at - REACH])  # of equal ones, the first
     starts = np.cumsum(lengths) - lengths
+    whole = np.repeat(starts + lengths, lengths) - np.arange(n) >= WINDOW
+    mixed = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        mixed = _mix(mixed + np.append(hashes[k:], np.zeros(min(k, n), np.uint64)), _MIX[0])
+    mixed[~whole] = _NONE
+    at = np.arange(n) + REACH * (texts + 1)  # what lies between texts is greater than any
+    padded = np.full(n + REACH * (len(lengths) + 1), _NONE, np.uint64)
+    padded[at] = mixed
+    least = whole & (mixed == _least(padded, 2 * REACH + 1)[at - REACH])
+    first = least & (mixed < _least(padded, REACH)[at - REACH])
     first[starts[lengths > 0]] = True
+    tied = np.flatnonzero(least & ~first)
+    if len(tied):
+        cuts = np.flatnonzero(first)
+        last, more = -1, []
+        for place, before in zip(tied.tolist(), cuts[np.searchsorted(cuts, tied) - 1].tolist()):
+            last = max(last, before)
+            if place - last > 2 * REACH:
+                more.append(place)
+                last = place
+        first[more] = True
     begin = np.flatnonzero(first)
-    return begin, np.append(begin[1:], len(hashes))
+    return begin, np.append(begin[1:], n)
 
 
 def _rolled(hashes: np.ndarray) -> np.ndarray:

@@ -301,6 +301,50 @@ def test_cuts_do_not_depend_on_the_batch():
     assert got == one
 
 
+def shared_run(texts):
+    """The most words in a row that paragraphs of both texts hold."""
+    cuts = []
+    for words in texts:
+        hashes, lengths = substring_dedup.split_words([" ".join(words)])
+        cuts.append([(int(a), int(b), tuple(words[a:b])) for a, b in zip(*substring_dedup.cut(hashes, lengths)) if b - a >= substring_dedup.SHINGLE])
+    other = {c for *_, c in cuts[1]}
+    best = run = end = 0
+    for a, b, c in cuts[0]:
+        if c in other:
+            run = b - a + (run if a == end else 0)
+            best, end = max(best, run), b
+    return best
+
+
+def test_cuts_with_a_very_frequent_word():
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(20_000)]
+    worst = [min(words, key=lambda w: int(substring_dedup._mix(substring_dedup.split_words([w])[0], substring_dedup._MIX[0])[0]))]
+
+    def window(w):
+        h = substring_dedup.split_words([w])[0]
+        x = np.zeros(1, np.uint64)
+        for _ in range(3):
+            x = substring_dedup._mix(x + h, substring_dedup._MIX[0])
+        return int(x[0])
+
+    worst.append(min(words, key=window))
+    for hot in worst:
+        some = lambda n: [hot if r.random() < 0.4 else r.choice(words) for _ in range(n)]
+        found = 0
+        for _ in range(100):
+            passage = some(51)
+            found += shared_run([some(60) + passage + some(60) for _ in range(2)]) >= substring_dedup.LEAST_RUN
+        assert found >= 95, (hot, found)
+
+
+def test_cuts_in_periodic_text():
+    r = random.Random(13)
+    for period in range(1, 8):
+        passage = ([f"p{r.random()}" for _ in range(period)] * 60)[:55]
+        assert shared_run([prose(r, 50).split() + passage + prose(r, 50).split() for _ in range(2)]) >= substring_dedup.LEAST_RUN
+
+
 def test_near_copies_of_paragraphs(spark):
     """One word in the middle of 51 is changed, so that the exact Jaccard similarity is 42 / 52."""
     r = random.Random(14)
