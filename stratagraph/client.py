@@ -67,61 +67,76 @@ class Client:
     # --- indexing ---
 
     def index_repo(self, repo: str, *, force: bool = False, extensions: list[str] | None = None, exclude_patterns: list[str] | None = None, visibility: str = "full", progress_callback: Progress | None = None) -> IndexResult:
-        """Index all files of a tree; what was there of the repository is replaced.
+        """Index all files of a tree.
 
-        A file that can't be read or parsed is counted as failed and reported.
+        ``force`` clears the repository first; else symbols are replaced by
+        their ids, and what is no longer in the tree stays.  A file that can't
+        be read or parsed is counted as failed and reported.
+        ``progress_callback`` is called with number, total and path of each
+        file once the files were extracted, in order of path.
         """
         root = self._repo(repo)
         if not os.path.isdir(root):
             raise FileNotFoundError(root)
-        tell = progress_callback or (lambda *_: None)
         rows = files.read_repo(self.spark, root, extensions or self.registry.extensions, exclude_patterns)
-        tell(0, 3, "extract")
-        return self._index(root, rows, visibility, tell)
+        return self._index(root, rows, visibility, progress_callback, clear=force)
 
     def index_file(self, path: str, repo: str, *, language: str | None = None) -> IndexResult:
         """Index one file anew; edges from other files into it are gone with its old nodes."""
         root, full = self._repo(repo), os.path.abspath(path)
         if not os.path.exists(full):
             raise FileNotFoundError(full)
-        extractor = self.registry.get(language) if language else self.registry.for_file(full)
+        language = language or files.language_of(full, self.registry)
+        extractor = self.registry.get(language)
         if extractor is None:
-            raise ValueError(f"no extractor for {language or path}")
+            raise ValueError(f"no extractor for {language}")
         relative = os.path.relpath(full, root).replace(os.sep, "/")
         with open(full, "rb") as f:
             rows = self.spark.createDataFrame([(relative, bytearray(f.read()))], "file_path string, content binary")
-        return self._index(root, rows, "full", lambda *_: None, relative)
+        return self._index(root, rows, "full", None, relative, extractor=extractor)
 
-    def _index(self, root: str, rows: DataFrame, visibility: str, tell: Progress, only: str | None = None) -> IndexResult:
-        found = materialise(extract_files(rows, self.registry), "extracted")
+    def _index(self, root: str, rows: DataFrame, visibility: str, progress: Progress | None, only: str | None = None, clear: bool = False, extractor: Extractor | None = None) -> IndexResult:
+        found = materialise(extract_files(rows, self.registry, extractor), "extracted")
         counts = found.groupBy("file_path").agg(F.max((F.col("record") == "node").cast("int")).alias("some"), F.max((F.col("record") == "error").cast("int")).alias("bad"))
         counts = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("bad") == 1) & (F.col("some") == 0)).cast("int")).alias("failed")).first()
         errors = [f"{r['file_path']}: {r['message']}" for r in found.where("record = 'error'").orderBy("file_path", "ordinal").limit(ERRORS_SHOWN).collect()]
-        tell(1, 3, "nodes")
-        self.store.clear_repo(root) if only is None else self.store.clear_file(only, root)
-        nodes = materialise(resolve.nodes_of(found, root, modules=visibility == "full"), "nodes")
-        self.store.put_nodes(nodes)
-        tell(2, 3, "edges")
-        known = nodes if only is None else self.store.nodes.where(F.col("repo_path") == root)
-        edges = materialise(resolve.edge_rows(resolve.resolve_edges(known, resolve.edges_of(found), visibility)), "edges")
-        self.store.put_edges(edges, check=False)
+        if progress is not None:
+            paths = found.where("record = 'file'").select("file_path").orderBy("file_path")
+            for k, r in enumerate(paths.toLocalIterator(), 1):
+                progress(k, counts["n"], f"{root}/{r['file_path']}")
+        with self.store.change():  # readers see the new graph or the old one
+            if only is not None:
+                self.store.clear_file(only, root)
+            elif clear:
+                self.store.clear_repo(root)
+            nodes = materialise(resolve.nodes_of(found, root, visibility == "full", self.store.last_seq), "nodes")
+            self.store.put_nodes(nodes, repo_path=root)
+            known = self.store.read("nodes", root).where(F.col("repo_path") == root)
+            edges = materialise(resolve.edge_rows(resolve.resolve_edges(known, resolve.edges_of(found), visibility)), "edges")
+            self.store.put_edges(edges, check=False, repo_path=root)
         out = IndexResult(counts["n"] - (counts["failed"] or 0), 0, counts["failed"] or 0, nodes.count(), edges.count(), errors)
         for x in (found, nodes, edges):
             discard(x)
-        tell(3, 3, "done")
         return out
 
     def index_server_dump(self, symbols: str, usages: str | None, repo: str, *, wanted: str = "name") -> IndexResult:
         """Index what a language server said of a repository (see ``sources.server``)."""
         root = self._repo(repo)
-        self.store.clear_repo(root)
-        nodes, inside = server.server_nodes(self.spark, symbols, root, wanted)
-        self.store.put_nodes(nodes)
-        known = self.store.nodes.where(F.col("repo_path") == root)
-        edges = inside if usages is None else inside.unionByName(server.usage_edges(self.spark, usages, known, root))
-        edges = materialise(edges, "edges")
-        self.store.put_edges(edges, check=False)
-        return IndexResult(known.select("file_path").distinct().count(), 0, 0, known.count(), edges.count())
+        with self.store.change():
+            self.store.clear_repo(root)
+            nodes, inside = server.server_nodes(self.spark, symbols, root, wanted, self.store.last_seq)
+            self.store.put_nodes(nodes, repo_path=root)
+            known = self.store.read("nodes", root).where(F.col("repo_path") == root)
+            edges = inside if usages is None else inside.unionByName(server.usage_edges(self.spark, usages, known, root))
+            edges = materialise(edges, "edges")
+            self.store.put_edges(edges, check=False, repo_path=root)
+        out = IndexResult(known.select("file_path").distinct().count(), 0, 0, known.count(), edges.count())
+        discard(edges)
+        return out
+
+    def clear_server_index(self, repo: str) -> int:
+        """Delete what was indexed of a repository; returns how many nodes."""
+        return self.store.clear_repo(self._repo(repo))
 
     # --- graph queries ---
 
@@ -145,7 +160,7 @@ class Client:
 
     def get_stats(self, repo: str) -> tuple[DataFrame, DataFrame]:
         """Nodes and files by kind, and edges by kind; null stands for all."""
-        own = self.store.nodes.where(F.col("repo_path") == self._repo(repo))
+        own = self.store.read("nodes", self._repo(repo)).where(F.col("repo_path") == self._repo(repo))
         ends = own.select(F.col("id").alias("source_id"))
         return graph.node_stats(own), self.store.edges.join(ends, "source_id", "left_semi").rollup("edge_type").agg(F.count(F.lit(1)).alias("n_edges"))
 
@@ -163,9 +178,10 @@ class Client:
         sources = raw.where(profiles.valid(raw)).select("source_file").distinct()
         n = store_batch(self.store, raw, root, metadata)
         mine = self.store.profiles.join(sources, "source_file", "left_semi")
-        ids = [r["id"] for r in mine.select("id").orderBy("id").limit(ERRORS_SHOWN).collect()]
-        frames = self.store.frames.join(mine.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").count()
-        linked = sum(self.correlator.correlate_profile(i, root) for i in ids) if correlate_symbols and root else 0
+        own = mine.select(F.col("id").alias("profile_id"))
+        ids = [r["id"] for r in mine.select("id").orderBy("id").collect()]  # all are returned: an id a profile
+        frames = self.store.frames.join(own, "profile_id", "left_semi").count()
+        linked = self.correlator.correlate_profiles(own, root) if correlate_symbols and root else 0
         discard(raw)
         return IngestResult(n, frames, linked, ids, errors)
 
@@ -208,5 +224,8 @@ class Client:
     def get_unmapped_frames(self, profile_id: str | None = None) -> DataFrame:
         return correlate.unmapped_frames(self.store.function_stats, self.store.mappings, profile_id)
 
+    def get_symbol_mapping(self, frame: str) -> DataFrame:
+        return correlate.symbol_mapping(self.store.mappings, frame)
+
     def clear_correlation_cache(self) -> int:
         return self.store.clear_mappings()

@@ -49,3 +49,11 @@ def with_location(edges: DataFrame) -> DataFrame:
     place = F.struct(F.col("location_file").alias("file_path"), *[F.col(f"location_{p}").alias(p) for p in parts])
     out = edges.withColumn("location", F.when(F.col("location_file").isNotNull(), place)).drop("location_file", *[f"location_{p}" for p in parts])
     return out.withColumn("metadata", F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Nodes or profiles with their ``metadata`` as a map of strings, empty for none.
+
+    Values that aren't strings are their JSON text.
+    """
+    return rows.withColumn("metadata", F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")))

@@ -1,9 +1,9 @@
 """Profile frames to graph symbols by ranked strategies, with a cache of matches.
 
 Strategies, the first with a hit wins: place in a file, qualified name, name
-and file, name and class, name alone.  Each is an equi join; a frame's
-candidates are reduced by aggregates that combine before the shuffle, so that
-a name with very many nodes is never gathered in one task.
+and file, name and class, name alone.  Nodes are first reduced to one for each
+key of a strategy, by aggregates that combine before the shuffle, so that a
+frame meets one row a strategy however many nodes share its name.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import FIELDS, FrameNormaliser
+from ..scratch import discard, materialise
 from ..store import Store
 
 #: Confidence of each way to match.
@@ -23,42 +24,51 @@ def match_frames(frames: DataFrame, nodes: DataFrame, repo_path: str, key: str =
     ``frames`` are normalised and distinct by ``key``.  Of several candidates
     of a strategy the first in the order of the nodes is taken.
     """
-    own = nodes.where(F.col("repo_path") == repo_path)
-    n = own.select(F.col("id").alias("symbol_id"), F.col("name").alias("n_name"), F.col("qualified_name").alias("n_qualified"), F.col("file_path").alias("n_file"), "start_line", "end_line", "seq")
     f = frames.select(F.col(key).alias("key"), *FIELDS)
-    first = lambda c, what: F.min(F.when(c, F.struct("seq", F.col("symbol_id").alias("id"), *what)))
-
-    same_file = F.col("file_path") == F.col("n_file")
-    same_line = F.col("line_number") == F.col("start_line")
-    inside = F.col("line_number").between(F.col("start_line"), F.col("end_line")) & (F.col("n_name") == F.col("function_name"))
-    placed = f.where("file_path is not null and line_number is not null").join(n, same_file & (same_line | inside))
-    placed = placed.groupBy("key").agg(first(F.lit(True), []).alias("place"))
-
-    # all that compares names comes from one join on the name
-    q, cls = F.col("qualified_name"), F.col("class_name")
-    dotted = F.concat(F.lit("."), cls, F.lit("."))
-    equal = F.coalesce(F.col("n_qualified") == q, F.lit(False))
-    ends = F.coalesce(F.endswith("n_qualified", F.concat(F.lit("."), q)), F.lit(False))
-    in_class = F.coalesce(F.contains("n_qualified", dotted) | F.endswith("n_qualified", F.concat(cls, F.lit("."), F.col("function_name"))), F.lit(False))
-    in_file = F.coalesce(same_file, F.lit(False))
-    named = f.join(n, F.col("function_name") == F.col("n_name")).groupBy("key").agg(
-        first((equal | ends) & F.col("qualified_name").isNotNull(), [equal.alias("equal")]).alias("qualified"),
-        F.sum(in_file.cast("long")).alias("n_in_file"),
-        first(in_file, []).alias("any_in_file"),
-        first(in_file & F.coalesce(F.contains("n_qualified", dotted), F.lit(False)), []).alias("class_in_file"),
-        first(in_class, []).alias("in_class"),
-        F.count(F.lit(1)).alias("n_named"),
-        first(F.lit(True), []).alias("any"),
-    )
-    both = f.select("key").join(placed, "key", "left").join(named, "key", "left")
-    in_file_id = F.when(F.col("n_in_file") == 1, F.col("any_in_file.id")).when(F.col("n_in_file") > 1, F.col("class_in_file.id"))
+    n = nodes.where(F.col("repo_path") == repo_path).select(F.col("name").alias("function_name"), F.col("qualified_name").alias("q"), F.col("file_path"), "start_line", "end_line", F.struct("seq", "id").alias("at"))
+    # only nodes that a frame may mean; those at a frame's line count whatever their name
+    named = n.join(f.select("function_name").distinct(), "function_name", "left_semi")
+    first = lambda df, *by: df.groupBy(*by).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+
+    # a node is found by every dotted ending of its qualified name
+    dotted = F.split("q", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda k: F.array_join(F.slice(dotted, k, F.size(dotted)), "."))
+    by_tail = named.where("q is not null").select("function_name", "q", "at", F.explode(F.array_distinct(tails)).alias("qualified_name"))
+    by_tail = by_tail.groupBy("function_name", "qualified_name").agg(F.min(F.struct("at", (F.col("q") == F.col("qualified_name")).alias("equal"))).alias("x"))
+    by_tail = by_tail.select("function_name", "qualified_name", F.col("x.at").alias("at"), "x.equal")
+
+    # and by its classes: runs of whole parts with a dot on either side, or any end of what stands before its name
+    part_ends = F.sequence(F.lit(1), F.size(dotted) - 2)
+    runs = F.flatten(F.transform(part_ends, lambda i: F.transform(F.sequence(i, F.size(dotted) - 2), lambda j: F.array_join(F.slice(dotted, i + 1, j - i + 1), "."))))
+    runs = F.when(F.size(dotted) > 2, runs).otherwise(F.array().cast("array<string>"))
+    before = F.substr(F.col("q"), F.lit(1), F.length("q") - F.length("function_name") - 1)
+    ends = F.transform(F.sequence(F.lit(1), F.length(before)), lambda k: F.substr(before, k))
+    ends = F.when(F.endswith("q", F.concat(F.lit("."), "function_name")) & (F.length(before) > 0), ends).otherwise(F.array().cast("array<string>"))
+    classed = named.where("q is not null").join(f.where("class_name is not null").select("function_name").distinct(), "function_name", "left_semi")
+    in_class = first(classed.select("function_name", "at", F.explode(F.array_distinct(F.concat(runs, ends))).alias("class_name")), "function_name", "class_name")
+    class_in_file = first(classed.select("function_name", "file_path", "at", F.explode(F.array_distinct(runs)).alias("class_name")), "function_name", "file_path", "class_name")
+
+    at_line = first(n, "file_path", F.col("start_line").alias("line_number"))
+    spot = f.where("file_path is not null and line_number is not null")
+    around = spot.select("key", "file_path", "line_number", "function_name").join(named, ["file_path", "function_name"]).where("line_number between start_line and end_line").groupBy("key").agg(F.min("at").alias("around"))
+
+    def found(df: DataFrame, table: DataFrame, name: str, *by: str) -> DataFrame:
+        return df.join(table.select(*by, *[F.col(c).alias(name if c == "at" else f"{name}_{c}") for c in table.columns if c not in by]), list(by), "left")
+
+    both = found(f, at_line, "line", "file_path", "line_number").join(around, "key", "left")
+    both = found(both, by_tail, "tail", "function_name", "qualified_name")
+    both = found(both, first(named, "function_name", "file_path"), "file", "function_name", "file_path")
+    both = found(both, class_in_file, "file_class", "function_name", "file_path", "class_name")
+    both = found(both, in_class, "class", "function_name", "class_name")
+    both = found(both, first(named, "function_name"), "any", "function_name")
+    in_file = F.when(F.col("file_n") == 1, F.col("file.id")).when(F.col("file_n") > 1, F.col("file_class.id"))
     ways = [
-        (F.col("place.id"), F.lit(CONFIDENCE["location"]), F.lit("Location match")),
-        (F.col("qualified.id"), F.when(F.col("qualified.equal"), CONFIDENCE["qualified_name"]).otherwise(CONFIDENCE["name_and_file"]), F.when(F.col("qualified.equal"), "Qualified name match").otherwise("Qualified name suffix match")),
-        (in_file_id, F.lit(CONFIDENCE["name_and_file"]), F.lit("Name and file match")),
-        (F.col("in_class.id"), F.lit(CONFIDENCE["name_and_class"]), F.lit("Name and class match")),
-        (F.when(F.col("n_named") == 1, F.col("any.id")), F.lit(CONFIDENCE["name_only"]), F.lit("Unique name match")),
-        (F.col("any.id"), F.lit(CONFIDENCE["fuzzy"]), F.concat(F.lit("Best guess from "), F.col("n_named").cast("string"), F.lit(" matches"))),
+        (F.least("line", "around")["id"], F.lit(CONFIDENCE["location"]), F.lit("Location match")),
+        (F.col("tail.id"), F.when(F.col("tail_equal"), CONFIDENCE["qualified_name"]).otherwise(CONFIDENCE["name_and_file"]), F.when(F.col("tail_equal"), "Qualified name match").otherwise("Qualified name suffix match")),
+        (in_file, F.lit(CONFIDENCE["name_and_file"]), F.lit("Name and file match")),
+        (F.col("class.id"), F.lit(CONFIDENCE["name_and_class"]), F.lit("Name and class match")),
+        (F.when(F.col("any_n") == 1, F.col("any.id")), F.lit(CONFIDENCE["name_only"]), F.lit("Unique name match")),
+        (F.col("any.id"), F.lit(CONFIDENCE["fuzzy"]), F.concat(F.lit("Best guess from "), F.col("any_n").cast("string"), F.lit(" matches"))),
     ]
     best = F.coalesce(*[F.when(i.isNotNull(), F.struct(i.alias("symbol_id"), c.cast("double").alias("confidence"), r.alias("match_reason"))) for i, c, r in ways])
     return both.withColumn("m", best).where("m is not null").select(F.col("key").alias(key), "m.symbol_id", "m.confidence", "m.match_reason")
@@ -71,6 +81,11 @@ def unmapped_frames(stats: DataFrame, mappings: DataFrame, profile_id: str | Non
     return rows.select("name").distinct().join(known, "name", "left_anti").orderBy("name")
 
 
+def symbol_mapping(mappings: DataFrame, frame_name: str) -> DataFrame:
+    """The cached mapping of a frame name, or no row."""
+    return mappings.where(F.col("frame_name") == frame_name)
+
+
 def symbol_mappings(mappings: DataFrame, min_confidence: float | None = None, limit: int | None = None) -> DataFrame:
     """Cached mappings, newest first."""
     rows = mappings if min_confidence is None else mappings.where(F.col("confidence") >= min_confidence)
@@ -112,10 +127,26 @@ class Correlator:
 
         The first frame of a name decides for all frames of that name.
         """
-        frames = self.store.frames.where(F.col("profile_id") == profile_id)
-        first = frames.groupBy("name").agg(F.min(F.struct("frame_index", "file", "line")).alias("f")).select("name", "f.file", "f.line")
-        found = self.correlate_frames(first, repo_path, use_cache, min_confidence).where("symbol_id is not null").select("name", F.col("symbol_id").alias("found"))
-        stats = self.store.function_stats
-        mine = F.col("profile_id") == profile_id
-        self.store.write("function_stats", stats.join(found, "name", "left").withColumn("symbol_id", F.when(mine, F.coalesce("found", "symbol_id")).otherwise(F.col("symbol_id"))))
-        return frames.join(found, "name", "left_semi").count()
+        one = self.store.spark.createDataFrame([(profile_id,)], "profile_id string")
+        return self.correlate_profiles(one, repo_path, use_cache, min_confidence)
+
+    def correlate_profiles(self, profile_ids: DataFrame, repo_path: str, use_cache: bool = True, min_confidence: float = 0.5) -> int:
+        """Link the statistics of any number of profiles (``profile_id``) to symbols in one job; returns how many frames have one.
+
+        With the cache the first frame of a name decides for all of them, by
+        profile id and then place; without it, for those of its profile.
+        """
+        frames = self.store.frames.join(profile_ids, "profile_id", "left_semi")
+        first = lambda *by: frames.groupBy(*by).agg(F.min(F.struct("profile_id", "frame_index", "file", "line")).alias("f")).select("name", "f.profile_id", "f.file", "f.line")
+        if use_cache:
+            names = self.correlate_frames(first("name").drop("profile_id"), repo_path, True, min_confidence).where("symbol_id is not null").select("name", F.col("symbol_id").alias("found"))
+            found = frames.select("profile_id", "name").distinct().join(names, "name")
+        else:
+            each = self.normaliser(first("profile_id", "name")).withColumn("key", F.struct("profile_id", "name"))
+            found = match_frames(each, self.store.nodes, repo_path, key="key").where(F.col("confidence") >= min_confidence)
+            found = found.select("key.profile_id", "key.name", F.col("symbol_id").alias("found"))
+        found = materialise(found, "correlated")
+        self.store.correlate_names(found)
+        n = frames.join(found, ["profile_id", "name"], "left_semi").count()
+        discard(found)
+        return n

@@ -133,8 +133,8 @@ def _spread(start: DataFrame, links: DataFrame, depth: int | None) -> DataFrame:
         if not n:
             break
         found = links.join(_near(front.select(F.col("key").alias("a")), n), "a", "left_semi").select(F.col("b").alias("key")).distinct()
-        for seen in levels:
-            found = found.join(seen.select("key"), "key", "left_anti")
+        seen = functools.reduce(DataFrame.unionByName, levels).select("key")
+        found = found.join(seen, "key", "left_anti")
         levels.append(materialise(found.withColumn("level", F.lit(len(levels))), "level"))
     return functools.reduce(DataFrame.unionByName, levels)
 
@@ -147,6 +147,8 @@ def import_graph(nodes: DataFrame, edges: DataFrame, file_path: str, repo_path:
     sources = nodes.where(F.col("repo_path") == repo_path).select(F.col("id").alias("source_id"), F.col("file_path").alias("a"))
     targets = nodes.select(F.col("id").alias("target_id"), F.col("file_path").alias("b"))
     links = imports.join(sources, "source_id").join(targets, "target_id").select("a", "b").where("a != b").distinct()
+    if depth > 2:  # read in several rounds
+        links = materialise(links, "import-links")
     first = nodes.sparkSession.createDataFrame([(file_path,)], "key string")
     files = _spread(first, links, depth - 1)
     inside = sources.join(files.select(F.col("key").alias("a")), "a", "left_semi").select("source_id")
@@ -165,14 +167,22 @@ def containing_nodes(nodes: DataFrame, places: DataFrame) -> DataFrame:
     """For each place (``repo_path``, ``file_path``, ``line``, and what else it has) the innermost node around it.
 
     The node with the smallest span of lines; of equal spans the last method,
-    or else the first node.  Places without a node are absent.  The join is
-    on repository and file, the range is its residual condition; the smallest
-    is picked by an aggregate that combines before the shuffle.
+    or else the first node.  Places without a node are absent.
+
+    A range join by bins: of nodes of one span the best is kept, and a node of
+    up to 2**k lines lies in one or two bins of 2**k lines.  A place looks in
+    one bin for each k that its file has, so that it meets nodes near it only,
+    not all of a file.
     """
     keys = places.columns
-    n = nodes.select("repo_path", "file_path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), F.col("id").alias("node_id"), F.col("node_type").alias("_kind"), F.col("seq").alias("_seq"))
-    inside = F.col("line").between(F.col("_from"), F.col("_to"))
-    both = places.join(n, ["repo_path", "file_path"]).where(inside)
-    method = F.col("_kind") == "method"
-    order = F.struct((F.col("_to") - F.col("_from")).alias("span"), F.when(method, 0).otherwise(1).alias("kind"), F.when(method, -F.col("_seq")).otherwise(F.col("_seq")).alias("seq"), "node_id")
-    return both.groupBy(*keys).agg(F.min(order).alias("m")).select(*keys, F.col("m.node_id").alias("node_id"))
+    method = F.col("node_type") == "method"
+    best = F.struct(F.when(method, 0).otherwise(1).alias("kind"), F.when(method, -F.col("seq")).otherwise(F.col("seq")).alias("seq"), F.col("id").alias("node_id"))
+    lines = F.col("_to") - F.col("_from")
+    n = nodes.groupBy("repo_path", "file_path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to")).agg(F.min(best).alias("_best")).where("_to >= _from")
+    n = n.withColumn("_k", F.ceil(F.log2((lines + 1).cast("double"))).cast("int"))
+    levels = n.groupBy("repo_path", "file_path").agg(F.collect_set("_k").alias("_ks"))  # 32 at most
+    bin_of = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_k"))).cast("long")
+    n = n.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to")))))
+    at = places.join(levels, ["repo_path", "file_path"]).withColumn("_k", F.explode("_ks")).withColumn("_bin", bin_of(F.col("line"))).drop("_ks")
+    both = at.join(n, ["repo_path", "file_path", "_k", "_bin"]).where(F.col("line").between(F.col("_from"), F.col("_to")))
+    return both.groupBy(*keys).agg(F.min(F.struct(lines.alias("span"), "_best")).alias("_m")).select(*keys, F.col("_m._best.node_id").alias("node_id"))

@@ -196,12 +196,10 @@ def evented_weights(events: DataFrame, keys: list[str], order: str = "at_pos") -
     last opened a level up.
     """
     e = _paired(events, keys, order)
-    up = Window.partitionBy(*keys).orderBy(order)
-    opened = F.when(F.col("kind") == "O", F.struct("level", "frame"))
     total = e.where("kind = 'C'").groupBy(*keys, "frame").agg(F.sum(F.col("at") - F.col("before.at")).alias("total_weight"))
-    # frames by level as they stand at each event: the last open of each level so far
-    stack = F.aggregate(F.collect_list(opened).over(up.rowsBetween(Window.unboundedPreceding, 0)), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast(f"array<{events.schema['frame'].dataType.simpleString()}>")), lambda a, x: F.map_concat(F.map_filter(a, lambda k, v: k < x["level"]), F.map_from_arrays(F.array(x["level"].cast("int")), F.array(x["frame"]))))
-    on_top = F.when(F.col("kind") == "O", F.col("frame")).otherwise(F.try_element_at(stack, F.col("depth").cast("int")))
+    # an event leaves ``depth`` frames open; the last open of that level so far is on top
+    last = Window.partitionBy(*keys, "depth").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    on_top = F.last(F.when(F.col("kind") == "O", F.col("frame")), ignorenulls=True).over(last)
     own = e.withColumn("top", on_top).where("ahead is not null and depth > 0").groupBy(*keys, F.col("top").alias("frame")).agg(F.sum(F.col("ahead") - F.col("at")).alias("self_weight"))
     count = e.groupBy(*keys, "frame").agg(F.sum((F.col("kind") == "O").cast("long")).alias("call_count"))
     out = count.join(total, [*keys, "frame"], "left").join(own, [*keys, "frame"], "left")
@@ -271,13 +269,18 @@ def functions_by_symbol(profiles: DataFrame, stats: DataFrame, symbol_id: str, l
     return stats.where(F.col("symbol_id") == symbol_id).join(p, "profile_id").orderBy(F.desc("created_at"), "profile_id", "frame_index").limit(limit)
 
 
+#: Change classes in the order of a comparison.
+CHANGES = ("regression", "improvement", "new", "removed", "unchanged")
+
+
 def compare(stats: DataFrame, before: str, after: str, threshold_pct: float = 5.0) -> DataFrame:
     """Functions of two profiles by name, with differences and ``change_class``.
 
     A name that a profile has more than once counts by its last frame.  The
     class is ``new``, ``removed``, ``regression``, ``improvement`` or
     ``unchanged``; it goes by self weight, and a weight of 0 before is neither
-    worse nor better.
+    worse nor better.  Regressions come first, the largest first, then
+    improvements likewise, then new, removed and unchanged ones by name.
     """
 
     def side(profile_id: str, tag: str) -> DataFrame:
@@ -292,12 +295,14 @@ def compare(stats: DataFrame, before: str, after: str, threshold_pct: float = 5.
         F.when(F.col("in_before").isNull(), "new").when(F.col("in_after").isNull(), "removed")
         .when(pct("self") > threshold_pct, "regression").when(pct("self") < -threshold_pct, "improvement").otherwise("unchanged")
     )
-    return both.select(
+    out = both.select(
         "name", F.coalesce(F.nullif("file_after", F.lit("")), "file_before").alias("file"),
         *[value(t, c).alias(f"{t}_{c}") for c in ("self", "total", "count") for t in ("before", "after")],
         *[(value("after", c) - value("before", c)).alias(f"{c}_delta") for c in ("self", "total", "count")],
         pct("self").alias("self_pct"), pct("total").alias("total_pct"), kind.alias("change_class"),
     )
+    place = F.array_position(F.array(*map(F.lit, CHANGES)), F.col("change_class"))
+    return out.orderBy(place, F.when(place <= 2, -F.abs("self_delta")), "name")
 
 
 def compare_summary(profiles: DataFrame, before: str, after: str) -> DataFrame:

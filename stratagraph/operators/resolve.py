@@ -21,8 +21,17 @@ def _mapped(c: Column, table: dict[str, str], other: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(c)), F.lit(other))
 
 
-def nodes_of(extracted: DataFrame, repo_path: str, modules: bool = True) -> DataFrame:
-    """Nodes from the extractors' rows, with ids ``file:name:line`` and ``seq`` in order of file and place.
+#: Records of a file that ``seq`` tells apart.
+RECORDS = 1 << 24
+
+
+def node_id(repo_path: str, file_path: Column, name: Column, line: Column) -> Column:
+    """``repository/file:name:line``: files of the same relative path in two repositories have nodes of their own."""
+    return F.concat_ws(":", F.concat(F.lit(f"{repo_path}/" if repo_path else ""), file_path), name, line.cast("string"))
+
+
+def nodes_of(extracted: DataFrame, repo_path: str, modules: bool = True, after: int = 0) -> DataFrame:
+    """Nodes from the extractors' rows, with ids (see ``node_id``) and ``seq`` in order of file and place, beyond ``after``.
 
     Of nodes with one id the later stays.  ``modules`` adds a node for each
     file, which stands for its top level and is named as the file is.
@@ -39,11 +48,11 @@ def nodes_of(extracted: DataFrame, repo_path: str, modules: bool = True) -> Data
             F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.lit(1).alias("start_line"), F.lit(0).alias("start_column"),
             "end_line", F.lit(0).alias("end_column"), F.lit(None).cast("string").alias("metadata"),
         ))
-    rows = rows.withColumn("id", F.concat_ws(":", "file_path", "name", F.col("start_line").cast("string")))
+    rows = rows.withColumn("id", node_id(repo_path, F.col("file_path"), F.col("name"), F.col("start_line")))
     rows = rows.groupBy("id").agg(F.max_by(F.struct(*rows.drop("id").columns), F.col("ordinal")).alias("r")).select("id", "r.*")
     # a file's rank among files, and the place within it
-    files = numbered(rows.select("file_path").distinct().orderBy("file_path"), "rank")
-    rows = rows.join(files, "file_path").withColumn("seq", F.col("rank") * F.lit(1 << 24) + F.col("ordinal") + 1)
+    files = numbered(rows.select("file_path").distinct().orderBy("file_path"), "rank", -(-after // RECORDS))
+    rows = rows.join(files, "file_path").withColumn("seq", F.col("rank") * F.lit(RECORDS) + F.col("ordinal") + 1)
     return rows.select("id", F.lit(repo_path).alias("repo_path"), "file_path", "node_type", "name", "qualified_name", "start_line", "start_column", "end_line", "end_column", "signature", "docstring", "metadata", "seq")
 
 

@@ -353,13 +353,13 @@ def symbol_mappings(t: Tables) -> DataFrame:
 
 @_query(f"with {_MAPPINGS} select frame_name, symbol_id, confidence, last_updated from m where frame_name = '{SYMBOL}'")
 def symbol_mapping(t: Tables) -> DataFrame:
-    return t.mappings().where(F.col("frame_name") == SYMBOL)
+    return correlate.symbol_mapping(t.mappings(), SYMBOL)
 
 
 @_query(f"with {_MAPPINGS} select profile_id, frame_index, name, m.symbol_id from ps join m on name = frame_name where m.symbol_id is not null")
 def apply_mappings(t: Tables) -> DataFrame:
     known = t.mappings().where("symbol_id is not null").select(F.col("frame_name").alias("name"), F.col("symbol_id").alias("found"))
-    return t.part_stats().join(known, "name").select("profile_id", "frame_index", "name", F.coalesce("found", "symbol_id").alias("symbol_id"))
+    return store.with_symbols(t.part_stats(), known, ["name"], F.lit(True)).where("symbol_id is not null").select("profile_id", "frame_index", "name", "symbol_id")
 
 
 @_query(f"""with {_NODES}, w as (select o_orderpriority as name, sum(o_totalprice::decimal(18,2))::double as self_weight, sum(o_totalprice::decimal(18,2))::double as total_weight, count(*)::bigint as call_count from orders group by all),
@@ -400,7 +400,7 @@ def clear_file_cascade(t: Tables) -> DataFrame:
 
 
 @_query("""with n as (select 'p' || p_partkey as id, p_brand as file_path, p_name as name, p_brand || '.' || p_name as qualified_name, p_partkey as seq from part),
-ed as (select l_orderkey as ok, l_linenumber as ln, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ordinal, p.p_brand as file_path, p.p_name as source_name, q.p_name as target_name from lineitem join part p on l_partkey = p.p_partkey join part q on q.p_partkey = l_suppkey where l_orderkey % 10 = 0),
+ed as (select l_orderkey as ok, l_linenumber as ln, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ordinal, p.p_brand as file_path, p.p_name as source_name, q.p_name as target_name from lineitem join part p on l_partkey = p.p_partkey join part q on q.p_partkey = l_suppkey),
 f as (select file_path, name, arg_min(id, seq) as id from n group by all),
 a as (select name, arg_min(id, seq) as id from n group by all)
 select ok, ln, s.id as source_id, coalesce(x.id, a.id) as target_id from ed join f s on s.file_path = ed.file_path and s.name = ed.source_name left join f x on x.file_path = ed.file_path and x.name = ed.target_name left join a on a.name = ed.target_name""")
@@ -505,7 +505,7 @@ def scan_languages(t: Tables) -> DataFrame:
     return t.read("part").select(path.alias("file_path")).select("file_path", infer_language(F.col("file_path")).alias("language"), has_extension(F.col("file_path"), [".py", ".cs"]).alias("taken"))
 
 
-@_query("""select 'p' || p_partkey || '.py:' || p_name || ':' || p_size as id, 'r' as repo_path, 'p' || p_partkey || '.py' as file_path, case p_type when 'ECONOMY' then 'class' when 'STANDARD' then 'function' else 'variable' end as node_type, p_name as name from part""")
+@_query("""select 'r/p' || p_partkey || '.py:' || p_name || ':' || p_size as id, 'r' as repo_path, 'p' || p_partkey || '.py' as file_path, case p_type when 'ECONOMY' then 'class' when 'STANDARD' then 'function' else 'variable' end as node_type, p_name as name from part""")
 def nodes_of_symbols(t: Tables) -> DataFrame:
     raw = F.when(F.col("p_type") == "ECONOMY", "Page").when(F.col("p_type") == "STANDARD", "FUNCTION").otherwise("trait")
     null = lambda kind="string": F.lit(None).cast(kind)

@@ -1,11 +1,12 @@
 """Intermediate tables in the folder that the cluster shares.
 
-The folder is ``spark.checkpoint.dir``.  Only where a session has none (unit
-tests in local mode) is a temporary one made and set.
+The folder is ``spark.checkpoint.dir``.  Only in local mode, where driver and
+executors are one process, is a temporary one made if the session has none.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Return the shared folder, making a local one only if none is set."""
+    """Return the shared folder; a cluster must have set one (RuntimeError), since others don't see a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="stratagraph-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -94,10 +94,30 @@ class Registry:
         return len(self._by_language)
 
 
-def records(registry: Registry, path: str, content: bytes | None, problem: str | None = None) -> Iterator[dict]:
-    """The records of one file, numbered; whatever goes wrong is an error record."""
+#: The registry of the process, which ``register`` and the look-ups below use.
+_shared = Registry()
+
+
+def shared_registry() -> Registry:
+    return _shared
+
+
+def register(extractor: Extractor) -> None:
+    _shared.register(extractor)
+
+
+def extractor_for_file(path: str) -> Extractor | None:
+    return _shared.for_file(path)
+
+
+def extractor_of(language: str) -> Extractor | None:
+    return _shared.get(language)
+
+
+def records(registry: Registry, path: str, content: bytes | None, problem: str | None = None, extractor: Extractor | None = None) -> Iterator[dict]:
+    """The records of one file, numbered; whatever goes wrong is an error record. ``extractor`` goes before the path's own."""
     found: list[dict] = []
-    extractor = registry.for_file(path)
+    extractor = extractor or registry.for_file(path)
     if content is None or problem:
         found.append(error(problem or "no content"))
     elif extractor is None:
@@ -114,8 +134,11 @@ def records(registry: Registry, path: str, content: bytes | None, problem: str |
         yield {"file_path": path, "ordinal": k} | record
 
 
-def extract_files(files: DataFrame, registry: Registry) -> DataFrame:
-    """Rows of ``EXTRACTED`` from files (``file_path``, ``content``, perhaps ``problem``); each file has a row of its own besides."""
+def extract_files(files: DataFrame, registry: Registry, extractor: Extractor | None = None) -> DataFrame:
+    """Rows of ``EXTRACTED`` from files (``file_path``, ``content``, perhaps ``problem``); each file has a row of its own besides.
+
+    ``extractor`` reads all of them, whatever their extensions.
+    """
     names = EXTRACTED.names
     has_problem = "problem" in files.columns
     rows = files.select("file_path", "content", *(["problem"] if has_problem else []))
@@ -127,7 +150,7 @@ def extract_files(files: DataFrame, registry: Registry) -> DataFrame:
                 problem = getattr(r, "problem", None)
                 content = None if r.content is None or isinstance(r.content, float) else bytes(r.content)
                 own = {"file_path": r.file_path, "record": "file", "ordinal": -1, "end_line": (content or b"").count(b"\n") + 1}
-                out += [[x.get(n) for n in names] for x in [own, *records(registry, r.file_path, content, problem if isinstance(problem, str) else None)]]
+                out += [[x.get(n) for n in names] for x in [own, *records(registry, r.file_path, content, problem if isinstance(problem, str) else None, extractor)]]
             frame = pd.DataFrame(out, columns=names, dtype=object)
             yield frame.astype({n: "Int32" for n in ("ordinal", "start_line", "start_column", "end_line", "end_column")})
 

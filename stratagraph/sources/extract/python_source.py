@@ -7,6 +7,9 @@ below them, until it does: the rest is extracted and an error is reported.
 from __future__ import annotations
 
 import ast
+import io
+import re
+import tokenize
 from collections.abc import Iterator
 
 from .base import TOP, Extractor, edge, error, node
@@ -49,11 +52,48 @@ def _dotted(e: ast.expr) -> str | None:
     if isinstance(e, ast.Name):
         return e.id
     if isinstance(e, ast.Attribute):
-        before = _dotted(e.value)
-        return f"{before}.{e.attr}" if before else None
+        parts = []
+        while isinstance(e, ast.Attribute):
+            parts.append(e.attr)
+            e = e.value
+        return ".".join([e.id, *reversed(parts)]) if isinstance(e, ast.Name) else None
     return None
 
 
+class Source:
+    """A file's text by the lines and byte columns that the parser counts in."""
+
+    def __init__(self, text: str):
+        self.lines = [x.encode() for x in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)]
+
+    def between(self, line: int, column: int, end_line: int, end_column: int) -> str:
+        if line == end_line:
+            return self.lines[line - 1][column:end_column].decode()
+        inner = self.lines[line : end_line - 1]
+        return b"".join([self.lines[line - 1][column:], *inner, self.lines[end_line - 1][:end_column]]).decode()
+
+    def of(self, e: ast.expr) -> str:
+        return self.between(e.lineno, e.col_offset, e.end_lineno, e.end_col_offset)
+
+    def parameters(self, f: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+        """A function's parameters as they are written, brackets included."""
+        first = f.body[0]
+        decorators = getattr(first, "decorator_list", None)
+        first = decorators[0] if decorators else first
+        head = self.between(f.lineno, f.col_offset, first.lineno, first.col_offset)
+        head_lines, depth, start = head.splitlines(keepends=True), 0, None
+        for t in tokenize.generate_tokens(io.StringIO(head).readline):
+            if t.type != tokenize.OP:
+                continue
+            if t.string == "(" and depth == 0:
+                start = t.start
+            depth += (t.string in "([{") - (t.string in ")]}")
+            if t.string == ")" and depth == 0 and start is not None:
+                (a, i), (b, j) = start, t.end
+                return head_lines[a - 1][i:j] if a == b else "".join([head_lines[a - 1][i:], *head_lines[a : b - 1], head_lines[b - 1][:j]])
+        return f"({ast.unparse(f.args)})"
+
+
 class PythonExtractor(Extractor):
     language = "python"
     extensions = (".py", ".pyi")
@@ -63,8 +103,9 @@ class PythonExtractor(Extractor):
         if problem:
             yield error(problem)
         names: dict[str, tuple[str, str | None]] = {}  # local name: module, symbol
+        self.source = Source(text)
         yield from self._symbols(path, tree.body, [], names, in_class=False, top=True)
-        yield from self._calls(tree, [], names, None)
+        yield from self._calls(tree, names)
 
     # --- symbols ---
 
@@ -75,7 +116,7 @@ class PythonExtractor(Extractor):
             elif isinstance(s, ast.ClassDef):
                 qualified = ".".join([*scope, s.name])
                 bases = [b for b in map(_dotted, s.bases) if b]
-                yield node("class", s.name, _span(s), qualified, None, ast.get_docstring(s), bases=bases, decorators=_decorators(s))
+                yield node("class", s.name, _span(s), qualified, None, ast.get_docstring(s), bases=bases, decorators=_decorators(self.source, s))
                 for b in bases:
                     module, target = self._via(b, names)
                     yield edge("inherits", qualified, target, s.lineno, s.col_offset, module)
@@ -108,23 +149,24 @@ class PythonExtractor(Extractor):
 
     def _function(self, s, scope, in_class) -> dict:
         is_async = isinstance(s, ast.AsyncFunctionDef)
-        returns = f" -> {ast.unparse(s.returns)}" if s.returns else ""
-        signature = f"{'async ' * is_async}def {s.name}({ast.unparse(s.args)}){returns}"
-        return node("method" if in_class else "function", s.name, _span(s), ".".join([*scope, s.name]), signature, ast.get_docstring(s), decorators=_decorators(s), **{"async": is_async})
+        returns = f" -> {self.source.of(s.returns)}" if s.returns else ""
+        signature = f"{'async ' * is_async}def {s.name}{self.source.parameters(s)}{returns}"
+        return node("method" if in_class else "function", s.name, _span(s), ".".join([*scope, s.name]), signature, ast.get_docstring(s), decorators=_decorators(self.source, s), **{"async": is_async})
 
     # --- calls ---
 
-    def _calls(self, tree, scope, names, owner) -> Iterator[dict]:
-        for child in ast.iter_child_nodes(tree):
-            inner = scope
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                inner = [*scope, child.name]
-            elif isinstance(child, ast.Call):
-                found = self._callee(child.func, names)
+    def _calls(self, tree, names) -> Iterator[dict]:
+        todo = [(tree, "")]  # without recursion, for expressions nested deeply
+        while todo:
+            at, scope = todo.pop()
+            if isinstance(at, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                scope = f"{scope}.{at.name}" if scope else at.name
+            elif isinstance(at, ast.Call):
+                found = self._callee(at.func, names)
                 if found:
                     target, module, same = found
-                    yield edge("calls", ".".join(scope) or TOP, target, child.lineno, child.col_offset, module, same_class_call=same)
-            yield from self._calls(child, inner, names, owner)
+                    yield edge("calls", scope or TOP, target, at.lineno, at.col_offset, module, same_class_call=same)
+            todo += [(child, scope) for child in reversed(list(ast.iter_child_nodes(at)))]
 
     def _callee(self, f: ast.expr, names) -> tuple[str, str | None, bool] | None:
         dotted = _dotted(f)
@@ -151,8 +193,8 @@ class PythonExtractor(Extractor):
         return names[longest][0], rest
 
 
-def _decorators(s) -> list[str]:
-    return [ast.unparse(d) for d in s.decorator_list]
+def _decorators(source: Source, s) -> list[str]:
+    return [source.of(d) for d in s.decorator_list]
 
 
 def _span(s) -> tuple[int, int, int, int]:

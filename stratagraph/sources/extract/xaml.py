@@ -10,12 +10,16 @@ from .base import Extractor, edge, error, node
 
 # --- fixed values: namespaces, and attributes that name event handlers ---
 X_SPACES = ("http://schemas.microsoft.com/winfx/2006/xaml", "http://schemas.microsoft.com/winfx/2009/xaml")
-EVENTS = set(
-    "Clicked Tapped DoubleTapped LongPressed Pressed Released Unfocused Focused TextChanged Completed SearchButtonPressed SelectedIndexChanged SelectionChanged ItemSelected ItemTapped "
-    "Appearing Disappearing Loaded Unloaded SizeChanged LayoutChanged ChildAdded ChildRemoved Scrolled ScrollToRequested PropertyChanged PropertyChanging "
-    "Click MouseDown MouseUp MouseEnter MouseLeave KeyDown KeyUp PreviewKeyDown PreviewKeyUp GotFocus LostFocus GotKeyboardFocus LostKeyboardFocus "
-    "DragEnter DragLeave DragOver Drop Closing Closed Opening Opened".split()
-)
+EVENTS = {
+    "Clicked", "Tapped", "DoubleTapped", "LongPressed", "Pressed", "Released",
+    "Unfocused", "Focused", "TextChanged", "Completed", "SearchButtonPressed", "SelectedIndexChanged",
+    "SelectionChanged", "ItemSelected", "ItemTapped", "Appearing", "Disappearing", "Loaded",
+    "Unloaded", "SizeChanged", "LayoutChanged", "ChildAdded", "ChildRemoved", "Scrolled",
+    "ScrollToRequested", "PropertyChanged", "PropertyChanging", "Click", "MouseDown", "MouseUp",
+    "MouseEnter", "MouseLeave", "KeyDown", "KeyUp", "PreviewKeyDown", "PreviewKeyUp",
+    "GotFocus", "LostFocus", "GotKeyboardFocus", "LostKeyboardFocus", "DragEnter", "DragLeave",
+    "DragOver", "Drop", "Closing", "Closed", "Opening", "Opened",
+}
 _MARKUP = re.compile(r"\{(Binding|StaticResource|DynamicResource|TemplateBinding)(?:\s+([^}]*))?\}")
 
 
@@ -59,11 +63,14 @@ class XamlExtractor(Extractor):
         page = cls or base.removesuffix(".xaml")
         if cls:
             yield node("page", cls.split(".")[-1], (1, 0, len(lines), 0), cls, None, None, root_element=_local(root.tag)[1])
+        first: dict[str, int] = {}  # of each tag the first line that has it
         for element in root.iter():
             if not isinstance(element.tag, str):
                 continue
             space, tag = _local(element.tag)
-            line = next((k for k, x in enumerate(lines, 1) if re.search(rf"<(?:\w+:)?{re.escape(tag)}\b", x)), 1)
+            if tag not in first:
+                first[tag] = next((k for k, x in enumerate(lines, 1) if re.search(rf"<(?:\w+:)?{re.escape(tag)}\b", x)), 1)
+            line = first[tag]
             here = (line, 0, line, 0)
             for attr, value in element.attrib.items():
                 a_space, name = _local(attr)

@@ -16,11 +16,14 @@ from fnmatch import fnmatchcase
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Folders that are left out by default (fixed values).
-DEFAULT_EXCLUDES = [f"**/{d}/**" for d in ("node_modules", ".git", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".eggs", "*.egg-info", ".mypy_cache", ".pytest_cache")]
+# --- fixed values: folders that are left out by default ---
+DEFAULT_EXCLUDES = [
+    "**/node_modules/**", "**/.git/**", "**/__pycache__/**", "**/.venv/**", "**/venv/**", "**/.tox/**",
+    "**/dist/**", "**/build/**", "**/.eggs/**", "**/*.egg-info/**", "**/.mypy_cache/**", "**/.pytest_cache/**",
+]
 #: Files that a task reads.
 FILES_A_TASK = 64
-#: Languages by file extension, whether or not there is an extractor for them.
+# --- fixed values: languages by file extension, whether or not there is an extractor for them ---
 LANGUAGES = {".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".cs": "csharp"}
 
 
@@ -141,3 +144,13 @@ def infer_language(path: Column, more: dict[str, str] | None = None) -> Column:
     table = (more or {}) | LANGUAGES
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)))
+
+
+def language_of(path: str, registry=None) -> str:
+    """The language of a path's extension, by the fixed table and then by a registry of extractors; ValueError if unknown."""
+    extension = os.path.splitext(path)[1].lower()
+    extractor = registry.for_extension(extension) if registry is not None and extension else None
+    language = LANGUAGES.get(extension) or (extractor.language if extractor else None)
+    if language is None:
+        raise ValueError(f"no language is known for {extension or 'a file without extension'}: {path}")
+    return language

@@ -9,7 +9,7 @@ from stratagraph.functions.frames import FrameNormaliser, FrameParser, normalise
 from stratagraph.operators.correlate import match_frames
 from stratagraph.sources import server
 from stratagraph.sources.repo import DEFAULT_EXCLUDES, discover, exclude_rules
-from stratagraph.store import Store
+from stratagraph.store import ConcurrentChange, Store
 
 from .test_graph import node
 
@@ -95,7 +95,7 @@ def test_client(spark, tmp_path):
     c = Client(spark)
     seen = []
     r = c.index_repo(str(repo), progress_callback=lambda *x: seen.append(x))
-    assert (r.files_indexed, r.files_failed) == (4, 1) and r.nodes_created > 8 and "bad.py" in r.errors[0] and seen[-1] == (3, 3, "done")
+    assert (r.files_indexed, r.files_failed) == (4, 1) and r.nodes_created > 8 and "bad.py" in r.errors[0] and seen[-1] == (5, 5, f"{repo}/utils.py")
     names = lambda df: sorted(x["name"] for x in df.collect())
     assert names(c.find_callers("helper", str(repo))) == ["main", "run"]
     assert names(c.find_callees("main", str(repo))) == ["dig", "helper"]
@@ -136,9 +136,9 @@ def test_sequential_visibility(spark, tmp_path):
     c = Client(spark)
     c.index_repo(str(tmp_path), visibility="sequential")
     targets = {x["target_id"] for x in c.store.edges.where("edge_type = 'calls'").collect()}
-    assert targets == {"a.py:late:1"}  # the import stands for it
-    c.index_repo(str(tmp_path))
-    assert {x["target_id"] for x in c.store.edges.where("edge_type = 'calls'").collect()} == {"z.py:late:1"}
+    assert targets == {f"{tmp_path}/a.py:late:1"}  # the import stands for it
+    c.index_repo(str(tmp_path), force=True)
+    assert {x["target_id"] for x in c.store.edges.where("edge_type = 'calls'").collect()} == {f"{tmp_path}/z.py:late:1"}
 
 
 def test_excludes(tmp_path):
@@ -158,8 +158,100 @@ def test_server_dump(spark, tmp_path):
     c = Client(spark)
     r = c.index_server_dump(str(tmp_path / "symbols.jsonl"), str(tmp_path / "usages.jsonl"), "/r", wanted="full")
     assert r.nodes_created == 4
-    assert {x["id"]: x["node_type"] for x in c.store.nodes.collect()} == {"S.cs:N:1": "module", "S.cs:C:2": "class", "S.cs:A:3": "method", "S.cs:B:11": "method"}
-    assert {(x["source_id"], x["target_id"], x["edge_type"]) for x in c.store.edges.collect()} == {("S.cs:N:1", "S.cs:C:2", "contains"), ("S.cs:C:2", "S.cs:A:3", "contains"), ("S.cs:C:2", "S.cs:B:11", "contains"), ("S.cs:B:11", "S.cs:A:3", "calls")}
+    assert {x["id"]: x["node_type"] for x in c.store.nodes.collect()} == {"/r/S.cs:N:1": "module", "/r/S.cs:C:2": "class", "/r/S.cs:A:3": "method", "/r/S.cs:B:11": "method"}
+    assert {(x["source_id"], x["target_id"], x["edge_type"]) for x in c.store.edges.collect()} == {("/r/S.cs:N:1", "/r/S.cs:C:2", "contains"), ("/r/S.cs:C:2", "/r/S.cs:A:3", "contains"), ("/r/S.cs:C:2", "/r/S.cs:B:11", "contains"), ("/r/S.cs:B:11", "/r/S.cs:A:3", "calls")}
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.sln").write_text('Project("{A}") = "P", "P.csproj", "{B}"\nEndProject\n')
     assert server.discover_solution(str(tmp_path)).endswith("x.sln") and server.count_projects(str(tmp_path / "sub" / "x.sln")) == 1
+
+
+def test_server_answers(spark, tmp_path):
+    (tmp_path / "projects.jsonl").write_text(json.dumps({"MsBuild": {"Projects": [{"Path": "P.csproj", "SourceFiles": ["A.cs", "B.cs", "A.cs"]}, {"Path": "Q.csproj", "SourceFiles": []}]}}) + "\n")
+    assert sorted(map(tuple, server.project_files(spark, str(tmp_path / "projects.jsonl")).collect())) == [("P.csproj", "A.cs"), ("P.csproj", "B.cs")]
+    ask = {"FileName": "A.cs", "Line": 4, "Column": 2, "Definition": {"FileName": "B.cs", "Range": {"Start": {"Line": 0, "Column": 1}, "End": {"Line": 0, "Column": 5}}}}
+    (tmp_path / "defs.jsonl").write_text(json.dumps(ask) + "\n" + json.dumps(ask | {"Definition": None}) + "\n")
+    assert [tuple(r) for r in server.definitions(spark, str(tmp_path / "defs.jsonl")).collect()] == [("A.cs", 5, 2, "B.cs", 1, 1, 1, 5)]
+
+
+def test_two_repositories(spark, tmp_path):
+    for repo, callee in (("one", "helper"), ("two", "other")):
+        (tmp_path / repo).mkdir()
+        (tmp_path / repo / "m.py").write_text(f"def helper(): pass\n\ndef other(): pass\n\ndef main():\n    {callee}()\n")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    c = Client(spark)
+    c.index_repo(one)
+    c.index_repo(two)
+    names = lambda df: sorted(x["name"] for x in df.collect())
+    assert names(c.find_callers("helper", one)) == ["main"] and names(c.find_callers("other", one)) == []
+    assert names(c.find_callers("other", two)) == ["main"] and c.store.nodes.groupBy("repo_path").count().count() == 2
+    assert c.store.clear_repo(one) == 4 and names(c.find_callers("other", two)) == ["main"] and c.store.edges.count() == 1
+
+
+def test_index_file_order_and_language(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def same(): pass\n")
+    (tmp_path / "z.py").write_text("def same(): pass\n")
+    (tmp_path / "x.txt").write_text("def texted(): pass\n")
+    c, repo = Client(spark), str(tmp_path)
+    c.index_repo(repo)
+    c.index_file(str(tmp_path / "a.py"), repo)
+    seqs = [r["seq"] for r in c.store.nodes.collect()]
+    assert len(set(seqs)) == len(seqs) and c.get_symbol_info("same", repo).first()["file_path"] == "z.py"
+    with pytest.raises(ValueError):
+        c.index_file(str(tmp_path / "x.txt"), repo)
+    r = c.index_file(str(tmp_path / "x.txt"), repo, language="python")
+    assert (r.files_indexed, r.errors) == (1, []) and c.get_symbol_info("texted", repo).first()["file_path"] == "x.txt"
+    before = c.store.nodes.count()
+    c.index_repo(repo)  # x.txt is not of the tree's extensions, and stays unless the index is forced
+    assert c.store.nodes.count() == before
+    c.index_repo(repo, force=True)
+    assert c.get_symbol_info("texted", repo).count() == 0 and c.get_symbol_info("same", repo).first()["file_path"] == "a.py"
+
+
+def test_many_profiles_in_one_file(spark, tmp_path):
+    one = {"type": "sampled", "name": "p", "startValue": 0, "endValue": 1, "samples": [[0]], "weights": [1]}
+    (tmp_path / "many.json").write_text(json.dumps({"shared": {"frames": [{"name": "work"}]}, "profiles": [one] * 1001}))
+    (tmp_path / "m.py").write_text("def work(): pass\n")
+    c = Client(spark)
+    c.index_repo(str(tmp_path))
+    got = c.ingest_profile(str(tmp_path / "many.json"), str(tmp_path))
+    assert (got.profiles_ingested, got.frames_ingested, got.frames_correlated, len(set(got.profile_ids))) == (1001, 1001, 1001, 1001)
+    assert c.store.function_stats.where("symbol_id is null").count() == 0
+
+
+def test_changes_are_whole(spark):
+    store = Store(spark)
+    store.put_nodes([node("a", "f", "a.py"), node("b", "g", "b.py")])
+    with pytest.raises(RuntimeError, match="midway"), store.change():
+        store.clear_repo("/r")
+        assert store.nodes.count() == 0
+        raise RuntimeError("midway")
+    assert store.nodes.count() == 2
+    other = Store(spark, store.path)
+    with pytest.raises(ConcurrentChange), store.change():
+        other.put_nodes([node("c", "h", "c.py")])
+        store.put_nodes([node("d", "h", "d.py")])
+    assert {r["id"] for r in store.nodes.collect()} == {"a", "b", "c"}
+    for k in range(40):
+        store.put_mappings([{"frame_name": f"n{k}", "symbol_id": "s"}])
+    assert store.mappings.count() == 40 and len(store._segments("frame_symbol_mappings")) <= 33
+    assert store.vacuum(0.0) > 0 and store.mappings.count() == 40 and store.nodes.count() == 3
+
+
+def test_all_ways_to_match(spark):
+    s = Store(spark)
+    s.put_nodes([
+        node("u1", "get", "u.py", line=3, end=9, q="app.UserStore.get"), node("u2", "get", "u.py", line=20, end=29, q="app.Outer.Cache.get"), node("v1", "get", "v.py", line=1, end=2, q="lib.get"),
+        node("w1", "solo", "w.py", line=1, end=5, q="w.solo"), node("x1", "twice", "x.py", line=1, q="x.twice"), node("y1", "twice", "y.py", line=1, q="y.twice"),
+    ])
+    schema = "name string, file string, line int, function_name string, class_name string, namespace string, qualified_name string, file_path string, line_number int, `column` int, language string, metadata string"
+    row = lambda name, fn, cls=None, q=None, file=None, line=None: (name, file, line, fn, cls, None, q, file, line, None, "python", None)
+    frames = spark.createDataFrame([
+        row("at line", "other", file="u.py", line=20), row("inside", "get", file="u.py", line=25), row("whole", "get", q="lib.get"), row("tail", "get", q="UserStore.get"), row("class in file", "get", "Outer", file="u.py"), row("file", "get", file="v.py"),
+        row("class", "get", "Cache"), row("class end", "get", "Store"), row("run", "get", "Outer.Cache"), row("alone", "solo"), row("guess", "twice"), row("none", "nothing"), row("inner", "get", "Outer"),
+    ], schema)
+    got = {r["name"]: (r["symbol_id"], r["confidence"], r["match_reason"]) for r in match_frames(frames, s.nodes, "/r").collect()}
+    assert got == {
+        "at line": ("u2", 0.95, "Location match"), "inside": ("u2", 0.95, "Location match"), "whole": ("v1", 0.9, "Qualified name match"), "tail": ("u1", 0.85, "Qualified name suffix match"),
+        "class in file": ("u2", 0.85, "Name and file match"), "file": ("v1", 0.85, "Name and file match"), "class": ("u2", 0.8, "Name and class match"), "class end": ("u1", 0.8, "Name and class match"),
+        "run": ("u2", 0.8, "Name and class match"), "alone": ("w1", 0.7, "Unique name match"), "guess": ("x1", 0.6, "Best guess from 2 matches"), "inner": ("u2", 0.8, "Name and class match"),
+    }

@@ -56,7 +56,7 @@ def test_code_graph_round_trip(spark):
 
 
 def test_every_edge_is_resolved(spark):
-    """All of lineitem, against a plain look-up; the SQL takes a tenth of the orders."""
+    """All of lineitem, against a plain look-up."""
     parts = spark.read.parquet(f"{AT}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()
     of, in_file, anywhere = {}, {}, {}
     for p in sorted(parts):
