@@ -407,6 +407,52 @@ def test_html_odd_pages(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+PARAGRAPHS = [f"Paragraph {k} tells the reader something that matters, at some length, and ends with a full stop." for k in range(8)]
+NAMES = ["", "information", "platform", "stock-report", "performance-text", "wrapper has-sidebar", "no-sidebar", "page comments-open", "container menu-open", "post"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_html_articles_in_elements_of_any_name(name):
+    nav = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul></nav>"
+    foot = "<footer>&copy; 2024 Example Media. All rights reserved.</footer>"
+    story = "<h1>A heading of the story</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    want = " ".join(["A heading of the story", *PARAGRAPHS])
+    for tag in ("div", "section"):
+        for body in (story, story.replace("h1", "h2"), f"<article>{story}</article>"):
+            around = lambda x, tag=tag: f'<{tag} class="{name}">{x}</{tag}>'
+            assert html_extract.main_text(f"<body>{nav}{around(body)}{foot}</body>") == want
+            assert html_extract.main_text(f"<body>{around(nav + body + foot)}</body>") == want
+
+
+def test_html_hand_written_pages():
+    """Pages in the manner of a blog, a shop's help page, a manual and a forum, not from the trainer's templates."""
+    long = "The river rose overnight and by morning the lower road was under water, so the school bus took the hill instead."
+    more = "Nobody in the village could remember a spring like it; the oldest photographs show the mill dry at this time of year."
+    pages = [
+        (f"<div id='page' class='site'><div class='site-header'><a href='/'>My Blog</a><p class='tagline'>Notes from the valley</p></div><div id='nav-main'><a href=/a>About</a> <a href=/b>Archive</a></div>"
+         f"<div class='hentry'><h1>High water</h1><p>{long}</p><p>{more}</p><p>{long} Again.</p></div><div id='comments'><h3>3 thoughts</h3><ol><li class='comment'><p>{more} I agree with all of that and would add a few things of my own here.</p></li><li class='comment'><p>Great read, thank you, we had the same in our town last year and the year before that.</p></li><li class='comment'><p>First! Also, this comment is meant to be longer than the article itself, so it goes on and on for a while.</p></li></ol></div>"
+         "<div class='colophon'>Powered by hand</div></div>", ["High water", long, more], ["thoughts", "agree", "Great read", "First!", "Powered", "Archive", "Notes from"]),
+        (f"<table class=layout><tr><td><a href=1>Shop</a><br><a href=2>Cart</a><br><a href=3>Help</a></td><td><h2>How returns work</h2><p>{more}</p><ul><li>Print the label and stick it on the parcel.</li><li>Hand the parcel in at any post office within thirty days.</li></ul><p>{long}</p></td></tr></table><div class='cookie-bar'>We use cookies to improve your visit. <a href=c>Accept</a></div>",
+         ["How returns work", more, "Print the label", "thirty days", long], ["Cart", "cookies"]),
+        (f"<main><h1>Sums</h1><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> of two numbers is taken digit by digit, from right to left.</p><pre>x = a + b</pre><p>{long}</p></main><aside class='toc'><a href=#1>Sums</a></aside><form action=/s><label>Search the manual</label></form>",
+         ["a+b of two", "x = a + b", long], ["Search the manual"]),
+    ]
+    for html, kept, gone in pages:
+        text = html_extract.main_text(html)
+        assert all(k in text for k in kept) and not any(g in text for g in gone), text
+
+
+def test_html_costs_grow_with_the_page():
+    import time
+
+    took = []
+    for depth in (2_000, 8_000):
+        began = time.perf_counter()
+        html_extract.Page("<div>" * depth + "deep text " * 50 + "</b></div>" * depth)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(12)
     for _ in range(40):
