@@ -209,28 +209,87 @@ def test_language_id(spark):
     r = random.Random(7)
     vocab = {"en": "the of and that with from have this which their there would about", "de": "der die und das nicht ein mit sich auf dem eine auch werden", "fr": "le la les des est une dans que pour qui avec sont cette"}
     rows = [(k, " ".join(r.choice(vocab[x].split()) for _ in range(r.randint(3, 60))), x, None) for k, x in enumerate(r.choices(sorted(vocab), k=600))]
-    df = spark.createDataFrame([*rows, (7001, None, "en", None), (7002, "12 34 !", "en", None), (7003, "", None, None)], DOCS)
+    long = " ".join(r.choice(vocab["de"].split()) for _ in range(400_000))
+    odd = [(7001, None, "en", None), (7002, "12 34 !", "en", None), (7003, "", None, None), (7004, long, "de", None), (None, rows[0][1], rows[0][2], None)]
+    df = spark.createDataFrame([*rows, *rows[:50], *odd], DOCS)
     model = language_id.learn(df)
-    got = {x["doc_id"]: x for x in language_id.identify(clash(df).drop("lang_pred", "score"), model).collect()}
-    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (7001, 7002, 7003))
-    right = [got[i]["lang_pred"] == x for i, _, x, _ in rows]
-    assert sum(right) / len(right) > 0.97 and all(0 <= x["score"] <= 1 for x in got.values())
-    assert language_id.keep_identified(clash(df), model).count() == 600
+    assert model.langs == ["de", "en", "fr"]
+    found = language_id.identify(clash(df), model).collect()
+    assert len(found) == len(rows) + 50 + len(odd) and all(x["lang_pred"] == 1 for x in found)  # what was there stays
+    got = {x["doc_id"]: x for x in found}
+    assert all(got[i]["_lang_pred"] == "und" and got[i]["_score"] == 0 for i in (7001, 7002, 7003))
+    right = [got[i]["_lang_pred"] == x for i, _, x, _ in rows]
+    assert sum(right) / len(right) > 0.97 and all(0 <= x["_score"] <= 1 for x in found)
+    assert got[7004]["_lang_pred"] == "de" and got[None]["_lang_pred"] == rows[0][2]
+    assert language_id.keep_identified(clash(df), model).count() == 652
     none = language_id.learn(df.where("false"))
     assert {x["lang_pred"] for x in language_id.identify(df, none).collect()} == {"und"}
 
 
-def test_code_lengths_are_sums_and_independent_of_batches():
-    model = language_id.Model(["x", "y"], [[b"abcabcabc" * 40], [b"xyzzy" * 60]])
+def test_any_number_of_languages(spark, monkeypatch):
+    """200 labels, each with words of its own; in one group and in many the predictions agree."""
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèßñçøå"
+    rows = []
+    for k in range(200):
+        words = ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(12)]
+        rows += [(k * 10 + j, " ".join(r.choice(words) for _ in range(40)), f"l{k:03}", None) for j in range(10)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    monkeypatch.setattr(language_id, "GROUP_BYTES", 1 << 40)
+    one = language_id.learn(df)
+    monkeypatch.setattr(language_id, "GROUP_BYTES", max(language_id.Tree([t.encode() for _, t, x, _ in rows if x == "l000"]).nbytes, 1) * 60)
+    many = language_id.learn(df)
+    assert len(one.groups) == 1 and len(many.groups) >= 3 and one.langs == many.langs and len(one.langs) == 200
+    a, b = ({x["doc_id"]: (x["lang_pred"], round(x["score"], 9)) for x in language_id.identify(df, m).collect()} for m in (one, many))
+    assert a == b and sum(a[i][0] == x for i, _, x, _ in rows) / len(rows) > 0.97
+
+
+def brute_code_length(training, text):
+    """Prediction by partial matching with dictionaries, byte by byte."""
+    counts: list[dict] = [{} for _ in range(language_id.ORDER + 1)]
+    for t in training:
+        padded = b"\0" * language_id.ORDER + t
+        for at in range(language_id.ORDER, len(padded)):
+            for k in range(language_id.ORDER + 1):
+                c = counts[k].setdefault(padded[at - k : at], {})
+                c[padded[at]] = c.get(padded[at], 0) + 1
+    kept: list[set] = [set(counts[0]), set(counts[1])]
+    size = {x: i + 1 for i, x in enumerate(sorted({b for t in training for b in t}))}
+    code = lambda c: sum(size.get(x, 0) * (len(size) + 1) ** k for k, x in enumerate(reversed(c)))
+    for k in (2, 3):
+        some = [(-sum(v.values()), code(c), c) for c, v in counts[k].items() if c[1:] in kept[k - 1]]
+        kept.append({c for n, _, c in sorted(some)[: language_id.MAX_CONTEXTS] if -n >= language_id.MIN_COUNT})
+
+    def p(symbol, context):
+        while context not in kept[len(context)]:
+            context = context[1:]
+        seen = counts[len(context)].get(context, {})
+        n, d = sum(seen.values()), len(seen)
+        if symbol in seen:
+            return seen[symbol] / (n + d)
+        return (d / (n + d) if n else 1.0) * (p(symbol, context[1:]) if context else 1 / 256)
+
+    padded = b"\0" * language_id.ORDER + bytes(x if x in size else 0 for x in text)  # bytes that weren't seen are all one
+    return -sum(math.log2(p(padded[at], padded[at - language_id.ORDER : at])) for at in range(language_id.ORDER, len(padded)))
+
+
+def test_code_lengths_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_CONTEXTS", 25)
+    r = random.Random(9)
+    training = [" ".join(r.choice("die der das und ümlaut nicht".split()) for _ in range(r.randint(1, 40))).encode() for _ in range(12)]
+    tree = language_id.Tree(training)
+    for text in [b"", b"d", "die zwölf Äpfel".encode(), training[0], bytes(range(1, 256)), " ".join(r.choice("und oder aber ümlaut".split()) for _ in range(30)).encode()]:
+        assert math.isclose(language_id.code_lengths([tree], [text])[0, 0], brute_code_length(training, text), rel_tol=1e-5, abs_tol=1e-4)
+
+
+def test_code_lengths_are_sums_and_independent_of_batches(monkeypatch):
+    trees = [language_id.Tree([b"abcabcabc" * 40]), language_id.Tree([b"xyzzy" * 60]), language_id.Tree([])]
     texts = [b"abc", b"", b"xyzzyabc" * 9, bytes([200, 7])]
-    together = model.code_lengths(texts)
+    together = language_id.code_lengths(trees, texts)
     for k, t in enumerate(texts):
-        assert np.allclose(together[k], model.code_lengths([t])[0])
-    old, language_id.SLICE = language_id.SLICE, 7
-    try:
-        assert np.allclose(together, model.code_lengths(texts))
-    finally:
-        language_id.SLICE = old
+        assert np.allclose(together[k], language_id.code_lengths(trees, [t])[0])
+    monkeypatch.setattr(language_id, "SLICE", 7)
+    assert np.allclose(together, language_id.code_lengths(trees, texts))
 
 
 # --- components, 7 ---
