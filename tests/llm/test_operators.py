@@ -525,28 +525,57 @@ def test_minimum_cut_is_minimal():
 # --- 9 ---
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(13)
-    x = r.normal(size=(700, 12)).astype(np.float32)
+    x = np.concatenate([r.normal(size=(700, 12)), r.normal(size=(700, 12)) * 0.05 + 3 * np.eye(12)[r.integers(0, 4, 700)]]).astype(np.float32)
     x[100:160] = x[100]
-    rows = [(k, x[k].tolist()) for k in range(700)] + [(701, None), (750, [None] * 12), (752, [float("nan")] * 12), (800, [1.0, 2.0]), (850, [0.5, 0.5]), (50, x[50].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    old, topk.SHARD_ROWS, topk.QUERY_ROWS = (topk.SHARD_ROWS, topk.QUERY_ROWS), 200, 5
-    try:
-        got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
-    finally:
-        topk.SHARD_ROWS, topk.QUERY_ROWS = old
-    want = []
-    whole = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    for q in range(0, 700, 50):
-        scores = whole @ whole[q]
-        best = sorted((c for c in range(700) if c != q), key=lambda c: (-scores[c], c))[:5]
+    n = len(x)
+    odd = [(2001, None), (2050, [None] * 12), (2052, [float("nan")] * 12), (2100, [1.0, 2.0]), (2150, [0.5, 0.5]), (50, x[50].tolist()), (None, x[3].tolist()), (2200, [])]
+    df = clash(spark.createDataFrame([*((k, x[k].tolist()) for k in range(n)), *odd], "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("id", "x", "dim", "cell", "rank")}))
+    units = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    want = [(2100, 1, 2150, 128 * 256 + 128 * 512), (2150, 1, 2100, 128 * 256 + 128 * 512)]
+    for q in range(0, n, 50):
+        scores = units @ units[q]
+        best = sorted((c for c in range(n) if c != q), key=lambda c: (-scores[c], c))[:5]
         want += [(q, k, c, int(scores[c])) for k, c in enumerate(best, 1)]
-    want += [(800, 1, 850, 128 * 256 + 128 * 512), (850, 1, 800, 128 * 256 + 128 * 512)]
-    assert got == sorted(want)
+    for cell_rows, tree_rows, query_rows in ((5_000, 20_000, 2_000), (100, 60, 3)):
+        for name, value in (("CELL_ROWS", cell_rows), ("TREE_ROWS", tree_rows), ("QUERY_ROWS", query_rows), ("LEAF", 16)):
+            monkeypatch.setattr(topk, name, value)
+        got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+        assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Whole numbers beyond 53 bits are exact, scores beyond 64 bits the nearest number."""
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 5.0]), (3, [1e308, -1e308]), (50, [3e6 + 1 / 256, 2e6]), (51, [3e6, 2e6 + 1 / 256]), (52, [0.0, 0.0]), (53, [3e6, 2e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    most, units = 2**63 - 1, {i: [math.floor(256 * c) if abs(c) < 1e300 else int(c) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scores = {i: max(-most - 1, min(most, sum(a * b for a, b in zip(units[q], v)))) for i, v in units.items() if i != q}
+        want += [(q, k, i, scores[i]) for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:5], 1)]
+    assert got == want
+
+
+def test_m_tree_leaves_pages_out():
+    """In clusters most rows are never scored, and the results are those of a scan."""
+    r = np.random.default_rng(14)
+    x = np.floor(np.concatenate([r.normal(size=(500, 8)) + 40 * c for c in r.normal(size=(16, 8))]) * 256)
+    space = topk.Space(float(np.abs(x).max()), 0.0)
+    space.most = float(((x / space.unit) ** 2).sum(1).max())
+    tree, scored = topk.MTree(space, np.arange(len(x)), x), []
+    plain = tree._score
+    tree._score = lambda page, mine, *rest: scored.append(len(mine) * int(np.diff(tree.row[page])[0])) or plain(page, mine, *rest)
+    q, ids, scores = tree.search(x[::50], np.arange(len(x))[::50], 5)
+    for k in range(len(x[::50])):
+        every = (x @ x[k * 50]).astype(np.int64)
+        best = sorted((c for c in range(len(x)) if c != k * 50), key=lambda c: (-every[c], c))[:5]
+        assert sorted(zip((-scores[q == k]).tolist(), ids[q == k].tolist())) == [(-int(every[c]), c) for c in best]
+    assert sum(scored) < 0.5 * len(x) * len(x[::50])
+
+
 # --- 10 ---
 
 
