@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stratagraph.scratch import discard, materialise
 
 #: Vectors in a cell, about, and cells at most; vectors in a tree at most, about (larger cells have several trees).
-CELL_ROWS, MAX_CELLS, TREE_ROWS = 5_000, 1_024, 20_000
+CELL_ROWS, MAX_CELLS, TREE_ROWS = 2_500, 1_024, 2_500
 #: Vectors that pivots are fitted to, by order of a hash.
 SAMPLE = 4_000
 #: Queries of a block; vectors on a leaf page; pages below an inner page.
