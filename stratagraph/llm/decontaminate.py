@@ -2,19 +2,22 @@
 
 Every run of ``n`` words of a benchmark item is a window; an item of fewer
 words, but not none, is one window.  Document windows are hashed where they
-stand and looked up in the hash set; a hit is verified word by word.
-All of it is DataFrame operations.
+stand and looked up in the broadcast set of the benchmark's hashes; only hits
+leave their task, to be verified word by word.  A set that is too large for
+one broadcast is looked up slice by slice, so that no number of windows makes
+all positions of the documents move.  All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stratagraph.scratch import materialise
+
 from .text import alnum_words, fresh
 
-#: The window table is broadcast up to this many rows (about 300 bytes each)
-#: and joined by a shuffle beyond it.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of hashes that are broadcast at once, and what a hash takes in the broadcast table.
+BROADCAST_BYTES, HASH_BYTES = 256 << 20, 32
 
 
 def _key(hashes: Column, at: Column | int, length: int) -> Column:
@@ -22,20 +25,20 @@ def _key(hashes: Column, at: Column | int, length: int) -> Column:
     return F.xxhash64(F.lit(length), *[F.get(hashes, F.lit(at) + k if isinstance(at, int) else at + k) for k in range(length)])
 
 
-def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct window: ``w_len``, ``w_gram``, ``w_key``, ``w_items``.
+def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (``w_id``, ``w_len``, ``w_gram``, ``w_key``), and the items of each (``w_id``, ``item``, a string).
 
     Items with a null or wordless text have no window.  Repeated items add
     nothing.  An item whose id is null still marks words but is not listed.
     """
-    items = benchmark.select(F.col(id_col).alias("i"), alnum_words(F.col(text_col)).alias("w"))
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), alnum_words(F.col(text_col)).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("w_len", F.least(F.size("w"), F.lit(n)))
-    grams = items.select("i", "w_len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("w_len") + 1)).alias("p"))
-    grams = grams.select("i", "w_len", F.slice("w", F.col("p"), F.col("w_len")).alias("w_gram"))
-    out = grams.groupBy("w_len", "w_gram").agg(F.collect_set("i").alias("w_items"))
+    grams = items.select("item", "w_len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("w_len") + 1)).alias("p"))
+    grams = grams.select("item", "w_len", F.slice("w", F.col("p"), F.col("w_len")).alias("w_gram")).distinct()
     hashes = F.transform("w_gram", lambda x: F.xxhash64(x))
     key = F.coalesce(*[F.when(F.col("w_len") == k, _key(hashes, 0, k)) for k in range(1, n + 1)])
-    return out.withColumn("w_key", key)
+    windows = materialise(grams.select("w_len", "w_gram").distinct().select(F.monotonically_increasing_id().alias("w_id"), "w_len", "w_gram", key.alias("w_key")), "windows")
+    return windows, grams.where("item is not null").join(windows, ["w_len", "w_gram"]).select("w_id", "item")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -47,15 +50,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
     with different texts are told apart by ``text_hash``.  A null id is an id
     like any other.  With an empty benchmark nothing is hit.
     """
-    from stratagraph.scratch import materialise
-
-    windows = materialise(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
-    sizes = {r["w_len"]: r["count"] for r in windows.groupBy("w_len").count().collect()}  # at most n rows
+    windows, items = benchmark_windows(benchmark, n, item_col, item_text_col)
+    lengths = sorted(r["w_len"] for r in windows.select("w_len").distinct().collect()) or [n]  # at most n
+    slices = max(1, -(-windows.count() * HASH_BYTES // BROADCAST_BYTES))
     w = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), alnum_words(F.col(text_col)).alias("w"))
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("nw", F.size("w"))
     # -1 stands for the document itself
     at = w.select("d", "t", "w", "h", "nw", F.explode(F.sequence(F.lit(-1), F.col("nw") - 1)).alias("p"))
-    lengths = sorted(sizes) or [n]
     fits = lambda k: F.when((F.col("p") >= 0) & (F.col("p") + k <= F.col("nw")), _key(F.col("h"), F.col("p"), k))
     if len(lengths) == 1:
         at = at.withColumn("l", F.lit(lengths[0])).withColumn("k", fits(lengths[0]))
@@ -63,32 +64,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
         each = F.array(*[F.struct(F.lit(k).alias("l"), fits(k).alias("k")) for k in lengths])
         at = at.select("d", "t", "w", "nw", "p", F.explode(each).alias("e")).select("d", "t", "w", "nw", "p", "e.l", "e.k")
         at = at.where((F.col("p") < 0) & (F.col("l") == lengths[0]) | F.col("k").isNotNull())
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        # w_len keeps the last test out of the join's keys: only rows with equal hashes come to it
-        same = (F.col("k") == F.col("w_key")) & (F.col("l") == F.col("w_len")) & (F.slice("w", F.greatest(F.col("p") + 1, F.lit(1)), F.col("w_len")) == F.col("w_gram"))
-        hits = at.join(F.broadcast(windows), same, "left").where((F.col("p") < 0) | F.col("w_key").isNotNull())
-        hits = hits.select("d", "t", "nw", "p", "l", "w_items")
-    else:  # nulls stay on their side; the document's own row needs no partner
-        at = at.withColumn("g", F.slice("w", F.greatest(F.col("p") + 1, F.lit(1)), F.col("l")))
-        found = at.where("k is not null").select("d", "t", "nw", "p", "l", "k", "g")
-        found = found.join(windows, (F.col("k") == F.col("w_key")) & (F.col("g") == F.col("w_gram")))
-        own = at.where("p < 0").select("d", "t", "nw", "p", "l", F.lit(None).cast(windows.schema["w_items"].dataType).alias("w_items"))
-        hits = found.select("d", "t", "nw", "p", "l", "w_items").unionByName(own)
-    by_doc = hits.groupBy("d", "t", "nw").agg(
-        F.sum((F.col("p") < 0).cast("int")).alias("rows"),
-        F.array_sort(F.collect_set(F.when(F.col("p") >= 0, F.struct("p", "l")))).alias("s"),
-        F.array_distinct(F.flatten(F.collect_set("w_items"))).alias("items"),
-    )
+    gram = F.when(F.col("p") >= 0, F.slice("w", F.greatest(F.col("p") + 1, F.lit(1)), F.col("l")))
+
+    def looked_up(s: int) -> DataFrame:
+        keys = windows.select("w_key").where(F.pmod("w_key", F.lit(slices)) == s).distinct()
+        some = at.where((F.pmod("k", F.lit(slices)) == s) | ((F.col("p") < 0) & F.lit(s == 0)))
+        hits = some.join(F.broadcast(keys), F.col("k") == F.col("w_key"), "left")  # BROADCAST_BYTES at most
+        return hits.where((F.col("p") < 0) | F.col("w_key").isNotNull()).select("d", "t", "nw", "p", "l", "k", gram.alias("g"))
+
+    found = looked_up(0)
+    for s in range(1, slices):
+        found = found.unionByName(looked_up(s))
+    found = materialise(found, "hits")
+    # both sides are read anew for the join alone, so that adaptive execution can split a window that very many documents have
+    hits = found.where("p >= 0").join(windows, (F.col("k") == F.col("w_key")) & (F.col("l") == F.col("w_len")) & (F.col("g") == F.col("w_gram"))).select("d", "t", "p", "l", "w_id")
+    hits = materialise(hits, "windows-hit")
+    named = hits.select("d", "t", "w_id").distinct().join(items, "w_id").select("d", "t", "item")
+    null = lambda kind: F.lit(None).cast(kind)
+    span = "struct<p:int,l:int>"
+    rows = found.where("p < 0").select("d", "t", "nw", F.lit(1).alias("own"), null(span).alias("s"), null("string").alias("item"))
+    rows = rows.unionByName(hits.select("d", "t", null("int").alias("nw"), F.lit(0).alias("own"), F.struct("p", "l").cast(span).alias("s"), null("string").alias("item")))
+    rows = rows.unionByName(named.select("d", "t", null("int").alias("nw"), F.lit(0).alias("own"), null(span).alias("s"), "item"))
+    by_doc = rows.groupBy("d", "t").agg(F.max("nw").alias("nw"), F.sum("own").alias("rows"), F.array_sort(F.collect_set("s")).alias("s"), F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     grown = lambda a, x: F.struct(F.greatest(a["end"], x["p"] + x["l"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["p"] + x["l"] - F.greatest(a["end"], x["p"]))).alias("n"))
-    return by_doc.select(
+    out = by_doc.select(
         F.col("d").alias(id_col),
         F.col("t").alias("text_hash"),
         F.col("nw").cast("long").alias("n_words"),
         F.aggregate("s", zero, grown)["n"].cast("long").alias("n_hit"),
-        F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"),
+        "items",
         F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("copy"),
-    ).drop("copy")
+    )
+    return out.drop("copy")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -73,7 +73,7 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), sorted(found)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     r = random.Random(3)
     items = [(10, prose(r, 25)), (9, prose(r, 10)), (8, "Short one!"), (7, ""), (6, None), (8, "Short one!")]
     texts = ODD + [(20, prose(r, 40)), (21, "a " + items[0][1].upper() + " b"), (22, items[1][1] + "  " + items[1][1]), (23, "the short, ONE is short one"), (24, items[0][1][40:] + " end")]
@@ -83,12 +83,9 @@ def test_decontamination(spark):
     assert got == sorted((str(i), *brute_hits(t, items)) for i, t in texts)
     kept = {x["doc_id"] for x in decontaminate.decontaminate(clash(docs(spark, texts)), bench).collect()}
     assert kept == {i for i, t in texts if not brute_hits(t, items)[1]}
-    old, decontaminate.BROADCAST_WINDOWS = decontaminate.BROADCAST_WINDOWS, 0
-    try:  # beyond the broadcast's bound
-        far = decontaminate.find_contamination(docs(spark, texts), bench)
-        assert sorted((str(x["doc_id"]), x["n_words"], x["n_hit"], x["items"]) for x in far.collect()) == got
-    finally:
-        decontaminate.BROADCAST_WINDOWS = old
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 200)  # in several slices
+    far = decontaminate.find_contamination(docs(spark, texts), bench)
+    assert sorted((str(x["doc_id"]), x["n_words"], x["n_hit"], x["items"]) for x in far.collect()) == got
     assert decontaminate.decontaminate(docs(spark, texts), bench.limit(0)).count() == len(texts)
     assert decontaminate.find_contamination(docs(spark, []), bench).count() == 0
 
