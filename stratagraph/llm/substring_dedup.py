@@ -24,11 +24,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratagraph.scratch import discard, materialise
 
+from .batches import pieces
 from .components import connected_components
 
 #: Words that are hashed together for a cut, so that one very frequent word doesn't rule where cuts fall; places on
@@ -39,12 +39,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS = 2
 #: Bands of lines and blocks, which are fewer: 3 find 1 - 0.2 ** 3 = 0.992.
 OWN_BANDS = 3
-#: Words that a run of repeated paragraphs must have.
-LEAST_RUN = 20
+#: Words that a run of repeated pieces must have, and words of the passages that are looked for: a passage of ``PASSAGE``
+#: words ends within the pieces next to its run, so that a run with these has as many; lines and blocks are whole passages.
+LEAST_RUN, PASSAGE, OWN_RUN = 20, 50, 40
 #: Words between two repeated paragraphs that a run may bridge, if their classes' first occurrences lie alike.
 GAP = 20
 #: Members of a bucket that are compared in one task; more are dealt out by pairs of chunks.
-BUCKET_ROWS = 5_000
+BUCKET_ROWS = 1_000
 #: Bytes of text that are cut at once, about; words whose hashes a Python worker remembers.
 SLICE, MEMO = 1 << 19, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -186,23 +187,17 @@ def _named(own: np.ndarray, kind: int) -> np.ndarray:
     return (own & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch, text_at: int):
-    """A batch in runs of rows with about ``SLICE`` bytes of text, one row at least, so that memory doesn't grow with it."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each paragraph with a shingle: ``d``, ``a`` (its hash), first and last word, band keys ``m0`` and on."""
+    """A row for each paragraph with a shingle: ``d``, ``a`` (its hash), ``w`` (first and last word), ``e``, band keys ``m0`` and on.
+
+    ``w`` is the first word times 2**32 and the last; ``e`` is how many words
+    the pieces before and after a piece have, 63 at most, as one number.
+    """
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    names = ["d", "a", "w0", "w1", *(f"m{k}" for k in range(OWN_BANDS))]
+    names = ["d", "a", "w", "e", *(f"m{k}" for k in range(OWN_BANDS))]
 
-    def table(ids: pa.Array, owner: np.ndarray, own: np.ndarray, w0: np.ndarray, w1: np.ndarray, bands: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array(own), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32)), *(pa.array(m.view(np.int64)) for m in bands)]
+    def table(ids: pa.Array, owner: np.ndarray, own: np.ndarray, w0: np.ndarray, w1: np.ndarray, near: np.ndarray, bands: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(own), pa.array(w0.astype(np.int64) << 32 | w1.astype(np.int64)), pa.array(near.astype(np.int16)), *(pa.array(m.view(np.int64)) for m in bands)]
         columns += [pa.nulls(len(own), pa.int64())] * (OWN_BANDS - len(bands))
         return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *columns], names=names)
 
@@ -216,19 +211,21 @@ def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         owner = np.repeat(np.arange(len(lengths)), lengths)[begin]
         own, bands = keys(hashes, begin, end)
         some = end - begin >= SHINGLE
-        yield table(ids, owner[some], _named(own[some], 0), (begin - starts[owner])[some], (end - starts[owner])[some], [m[some] for m in bands])
+        size, same = np.minimum(end - begin, 63), owner[1:] == owner[:-1]
+        near = np.append(0, np.where(same, size[:-1], 0)) << 6 | np.append(np.where(same, size[1:], 0), 0)
+        yield table(ids, owner[some], _named(own[some], 0), (begin - starts[owner])[some], (end - starts[owner])[some], near[some], [m[some] for m in bands])
         spans = np.array([(k, a, b) for k, t in enumerate(lines) for a, b in own_paragraphs(t) if b - a >= SHINGLE], np.int64).reshape(-1, 3)
         if len(spans):
             owner, w0, w1 = spans.T
             own, bands = own_keys(hashes, w0 + starts[owner], w1 + starts[owner])
-            yield table(ids, owner, _named(own, 1), w0, w1, bands)
+            yield table(ids, owner, _named(own, 1), w0, w1, np.zeros(len(owner), np.int16), bands)
 
     def run(batches):
         for batch in batches:
-            for piece in _pieces(batch, 1):
+            for piece in pieces(batch, 1, SLICE):
                 yield from tables(piece.column(0), piece.column(1).to_pylist())
 
-    return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w0 int, w1 int, " + ", ".join(f"m{k} long" for k in range(OWN_BANDS)))
+    return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, a long, w long, e short, " + ", ".join(f"m{k} long" for k in range(OWN_BANDS)))
 
 
 def similar_links(sets: list[frozenset]) -> list[tuple[int, int]]:
@@ -295,8 +292,8 @@ def _link(batches):
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame) -> DataFrame:
-    """``a`` and ``s`` (distinct shingle hashes) of the paragraphs ``where`` (``a``, ``d``, ``w0``, ``w1``)."""
-    spots = where.groupBy(F.col("d").alias("e")).agg(F.collect_list(F.struct("a", "w0", "w1")).alias("p"))
+    """``a`` and ``s`` (distinct shingle hashes) of the paragraphs ``where`` (``a``, ``d``, ``w``)."""
+    spots = where.groupBy(F.col("d").alias("e")).agg(F.collect_list(F.struct("a", *_words_of("w"))).alias("p"))
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(spots, F.col("d").eqNullSafe(F.col("e"))).select("t", "p")
 
     def table(names: list, parts: list[list[bytes]]) -> pa.RecordBatch:
@@ -313,7 +310,7 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame)
         return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[right]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles))], names=["a", "s"])
 
     def run(batches):
-        for piece in (piece for batch in batches for piece in _pieces(batch, 0)):
+        for piece in (piece for batch in batches for piece in pieces(batch, 0, SLICE)):
             names, parts = [], []
             for t, spots in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 words = (t or "").encode("utf-8", "surrogatepass").lower().split()
@@ -331,6 +328,11 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, where: DataFrame)
     return rows.mapInArrow(run, "a long, s array<long>").dropDuplicates(["a"])
 
 
+def _words_of(w: str) -> list:
+    """The first and the last word of a place."""
+    return [F.shiftright(w, 32).cast("int").alias("w0"), F.col(w).bitwiseAND(0xFFFFFFFF).cast("int").alias("w1")]
+
+
 def _banded(cuts: DataFrame, *columns: str) -> DataFrame:
     """A row for each band, its number mixed into its key."""
     each = F.array(*[F.xxhash64(F.lit(k), f"m{k}") if k else F.col("m0") for k in range(OWN_BANDS)])
@@ -343,7 +345,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``class`` is the least hash of its paragraphs, ``first`` says whether the
     occurrence is the class's first, which stays.  Words are counted from 0,
-    ends are exclusive.  Only runs of ``LEAST_RUN`` words or more count.  A
+    ends are exclusive.  Only runs that may be part of a passage of ``PASSAGE``
+    words count, and lines and blocks of ``OWN_RUN`` words.  A
     null, empty or blank text has no paragraph.  Rows of one id are one
     document; a null id is the least.
     """
@@ -351,12 +354,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what shares no band with another occurrence can be left out
     often = _banded(cuts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     often = materialise(often, "often")  # so that a hot key's rows can be split over tasks
-    spots = materialise(_banded(cuts, "d", "a", "w0", "w1").join(often, "key").select("key", "d", "a", "w0", "w1"), "spots")
+    spots = materialise(_banded(cuts, "d", "a", "w", "e").join(often, "key").select("key", "d", "a", "w", "e"), "spots")
     discard(cuts)
-    by_text = spots.groupBy("key", "a").agg(F.min(F.struct("d", "w0", "w1")).alias("at"))
+    by_text = spots.groupBy("key", "a").agg(F.min(F.struct("d", "w")).alias("at"))
     mixed = spots.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
     member = materialise(by_text.join(mixed, "key").select("key", "a", "at.*"), "members")
-    where = member.groupBy("a").agg(F.min(F.struct("d", "w0", "w1")).alias("at")).select("a", "at.*")
+    where = member.groupBy("a").agg(F.min(F.struct("d", "w")).alias("at")).select("a", "at.*")
     sets = materialise(_shingle_sets(docs, id_col, text_col, where), "sets")
     # one bucket of those that hold the same paragraphs
     groups = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "a")).alias("y"))
@@ -367,7 +370,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link, "u long, v long")
     roots = connected_components(links).withColumnRenamed("node", "a")
-    places = spots.select("d", "a", "w0", "w1").distinct().join(roots, "a", "left").select("d", "w0", "w1", F.coalesce("root", "a").alias("class"))
+    places = spots.select("d", "a", "w", "e").distinct().join(roots, "a", "left").select("d", *_words_of("w"), "e", F.coalesce("root", "a").alias("class"))
     places = materialise(places, "places")
     for x in (often, spots, member, sets):
         discard(x)
@@ -384,7 +387,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     far = F.col("w0") - F.col("reached")
     found = found.withColumn("new", (~((far <= 0) | (F.col("alike") & (far <= GAP)))).cast("int")).withColumn("run", F.sum("new").over(in_doc))
     more = F.greatest(F.col("w1") - F.greatest("w0", "reached"), F.lit(0))
-    found = found.withColumn("words", F.sum(more).over(Window.partitionBy("d", "own", "run"))).where(F.col("words") >= LEAST_RUN)
+    in_run = Window.partitionBy("d", "own", "run")
+    around = F.max(F.when(F.col("new") == 1, F.shiftright("e", 6))).over(in_run) + F.max_by(F.col("e").bitwiseAND(63), "w1").over(in_run)
+    span = F.max("w1").over(in_run) - F.min("w0").over(in_run)
+    enough = F.when(F.col("own") == 1, F.col("words") >= OWN_RUN).otherwise((F.col("words") >= LEAST_RUN) & (F.col("span") + F.col("around") >= PASSAGE))
+    found = found.withColumn("words", F.sum(more).over(in_run)).withColumn("span", span).withColumn("around", around).where(enough)
     # a line and its block may be of one class: what overlaps the first occurrence stays with it
     first = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("w0") >= F.col("f.w0")) & (F.col("w0") < F.col("f.w1"))
     return found.select("d", "w0", "w1", "class", first.alias("first"))
