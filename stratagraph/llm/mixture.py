@@ -46,14 +46,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), perce
     return s.select("source", "source_size", target.alias("target"))
 
 
-def copies(id_col: Column, rate: Column) -> Column:
-    """``floor(rate)`` plus one with the probability of the rest, by the id's hash."""
-    digits = F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 13)
+def copies(id_col: Column, rate: Column, seed: str = "") -> Column:
+    """``floor(rate)`` plus one with the probability of the rest, by the hash of the seed and the id; a null id draws as the empty one."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
     u = F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(16**13))
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "") -> DataFrame:
     """One row per document: id, ``size``, ``source``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     A null text has size 0, a null source is a source of its own.  A source
@@ -64,11 +64,11 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent:
     targets = source_targets(sizes, weights, percent, most).withColumnRenamed("source", "s")
     both = sizes.join(targets, F.col("source").eqNullSafe(F.col("s")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    both = both.withColumn("copies", copies(F.col("id"), rate))
+    both = both.withColumn("copies", copies(F.col("id"), rate, seed))
     return both.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str | None = "copy") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str | None = "copy", seed: str = "") -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as it is taken.
 
     ``copy_col`` numbers a document's copies from 0; null leaves it out.
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     out = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col("__s")))
     (number,) = fresh(docs, copy_col or "copy")
-    n = copies(F.col(id_col), F.col("__rate"))
+    n = copies(F.col(id_col), F.col("__rate"), seed)
     out = out.where(n > 0).select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias(number))
     return out if copy_col else out.drop(number)
 

@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from stratagraph.scratch import materialise
+from stratagraph.scratch import discard, materialise
 
+from .batches import pieces
 from .components import connected_components
+from .text import fresh
 
 BLOCKS, WIDTH = 4, 16
 #: Fingerprints in a task of the trie join, about.
@@ -49,15 +51,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``d`` (the id) and ``fp`` (a signed long)."""
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+    """One row per row of ``docs``: ``d`` (the id), ``h`` (a hash of the text) and ``fp`` (a signed long)."""
+    rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
 
     def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["d", "fp"])
+        for b in (piece for batch in batches for piece in pieces(batch, 2)):
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["d", "h", "fp"])
 
-    return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, h long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -189,6 +191,14 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return dealt.repartition(tasks, "b", "key", "i", "j").mapInArrow(run, "u long, v long")
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """``fp``, ``root`` and ``least`` (the least id) of each distinct fingerprint."""
+    first = prints.groupBy("fp").agg(F.min("d").alias("least"))
+    roots = connected_components(fingerprint_links(prints.select("fp").distinct()))
+    named = first.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialise(named.select("fp", "root", "least"), "named")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, ``fp`` and ``component_id``.
 
@@ -199,10 +209,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     but names a component only if it is alone.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
-    first = prints.groupBy("fp").agg(F.min("d").alias("least"))
-    roots = connected_components(fingerprint_links(prints.select("fp").distinct()))
-    named = first.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialise(named.select("fp", "root", "least"), "named")
+    named = _named(prints)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     out = prints.join(by_print, "fp")
@@ -210,13 +217,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One document of each component of ``docs``: the one with the least id.
+    """One row of each component of ``docs``: that of the least id, a null one only if there is no other.
 
-    Of repeated rows with that id all stay.
+    Of different texts of that id the one with the least hash stays, and of
+    rows that repeat both the first by a hash of all columns.
     """
-    classes = simhash_components(docs, id_col, text_col, shingle)
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
+    named = _named(prints)
+    first = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "h")).alias("x")
+    stay = materialise(prints.join(named, "fp").groupBy("root").agg(first).select(F.col("x.d").alias("__d"), F.col("x.h").alias("__h")), "stay")
+    discard(named)
+    (mark,) = fresh(docs, "__mark")
+    same = lambda few: F.col(f"`{id_col}`").eqNullSafe(F.col("__d")) & (F.col(mark) == F.col("__h"))
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    kept = marked.join(stay, same(stay), "left_semi")
+    twice = prints.groupBy("d", "h").count().where("count > 1").select(F.col("d").alias("__d"), F.col("h").alias("__h"))
+    twice = materialise(twice.join(stay.withColumnsRenamed({"__d": "e", "__h": "g"}), F.col("__d").eqNullSafe(F.col("e")) & (F.col("__h") == F.col("g")), "left_semi"), "twice")
+    if not twice.isEmpty():  # only rows that repeat go through a window
+        place, order = fresh(docs, "__place", "__order")
+        again = kept.join(twice, same(twice), "left_semi").withColumn(order, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        again = again.withColumn(place, F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), mark).orderBy(order))).where(F.col(place) == 1)
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(again.drop(place, order))
+    return kept.drop(mark)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import functools
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .batches import pieces as in_pieces
+
 #: Distinct merged pre-tokens that a Python worker remembers.
 MEMO = 200_000
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +48,8 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = dict.fromkeys(whole, 1)
         self.memo: dict[str, int] = {}
@@ -132,7 +136,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         of = _counters.get(path) or _counters.setdefault(path, Counter(path, *proved.value))
-        for b in batches:
+        for b in (piece for batch in batches for piece in in_pieces(batch, 1)):
             tokens = [of.count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(tokens, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
