@@ -168,13 +168,14 @@ class CSharpExtractor(Extractor):
                 last = self._until(t, last + 1, end, ";")
             return last + 1, out
         last = self._until(t, j, end, ";")
-        out, first = [], True
+        out, first, of = [], True, ""
         is_event = t.is_word(i, "event")
         for a, b in t.split(i, last):
             stop = next((k for k in range(a, b) if t.is_op(k, "=")), b)
             if t.is_word(stop - 1) and (not first or stop - 1 > a):
                 name = t[stop - 1].text
-                out.append(node("event" if is_event else "field", name, t.span(start, min(last, len(t) - 1)), f"{owner}.{name}" if owner else name, None, t.doc(start, "///"), field_type=t.source(i + is_event, name_at) if first else None, **meta))
+                of = t.source(i + is_event, stop - 1) if first else of
+                out.append(node("event" if is_event else "field", name, t.span(start, min(last, len(t) - 1)), f"{owner}.{name}" if owner else name, None, t.doc(start, "///"), field_type=of, **meta))
                 first = False
         out += self._calls(t, j, last, ".".join(types[-1:]) or TOP)
         return last + 1, out

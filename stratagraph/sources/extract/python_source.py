@@ -159,14 +159,16 @@ class PythonExtractor(Extractor):
         todo = [(tree, "")]  # without recursion, for expressions nested deeply
         while todo:
             at, scope = todo.pop()
+            inner = scope
             if isinstance(at, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                scope = f"{scope}.{at.name}" if scope else at.name
+                inner = f"{scope}.{at.name}" if scope else at.name
             elif isinstance(at, ast.Call):
                 found = self._callee(at.func, names)
                 if found:
                     target, module, same = found
                     yield edge("calls", scope or TOP, target, at.lineno, at.col_offset, module, same_class_call=same)
-            todo += [(child, scope) for child in reversed(list(ast.iter_child_nodes(at)))]
+            outside = {id(d) for d in getattr(at, "decorator_list", ())}  # decorators are called where the definition stands
+            todo += [(child, scope if id(child) in outside else inner) for child in reversed(list(ast.iter_child_nodes(at)))]
 
     def _callee(self, f: ast.expr, names) -> tuple[str, str | None, bool] | None:
         dotted = _dotted(f)

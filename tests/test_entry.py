@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from stratagraph.plans import catalogue
+from stratagraph.plans import catalogue, rules, stored  # noqa: F401
 from stratagraph.store import Store
 from stratagraph.codegraph import CodeGraph, from_code_graph, to_code_graph, with_location
 
