@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.frames import FrameNormaliser, FrameParser
 from .operators import correlate, graph, profiles, resolve
-from .scratch import discard, materialise
+from .scratch import discard, materialise, scope
 from .sources import repo as files
 from .sources import server
 from .sources.extract import Extractor, default_registry, extract_files
@@ -95,7 +95,11 @@ class Client:
             rows = self.spark.createDataFrame([(relative, bytearray(f.read()))], "file_path string, content binary")
         return self._index(root, rows, "full", None, relative, extractor=extractor)
 
-    def _index(self, root: str, rows: DataFrame, visibility: str, progress: Progress | None, only: str | None = None, clear: bool = False, extractor: Extractor | None = None) -> IndexResult:
+    def _index(self, *given, **named) -> IndexResult:
+        with scope():
+            return self._indexed(*given, **named)
+
+    def _indexed(self, root: str, rows: DataFrame, visibility: str, progress: Progress | None, only: str | None = None, clear: bool = False, extractor: Extractor | None = None) -> IndexResult:
         found = materialise(extract_files(rows, self.registry, extractor), "extracted")
         counts = found.groupBy("file_path").agg(F.max((F.col("record") == "node").cast("int")).alias("some"), F.max((F.col("record") == "error").cast("int")).alias("bad"))
         counts = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("bad") == 1) & (F.col("some") == 0)).cast("int")).alias("failed")).first()
@@ -114,10 +118,7 @@ class Client:
             known = self.store.read("nodes", root).where(F.col("repo_path") == root)
             edges = materialise(resolve.edge_rows(resolve.resolve_edges(known, resolve.edges_of(found), visibility)), "edges")
             self.store.put_edges(edges, check=False, repo_path=root)
-        out = IndexResult(counts["n"] - (counts["failed"] or 0), 0, counts["failed"] or 0, nodes.count(), edges.count(), errors)
-        for x in (found, nodes, edges):
-            discard(x)
-        return out
+        return IndexResult(counts["n"] - (counts["failed"] or 0), 0, counts["failed"] or 0, nodes.count(), edges.count(), errors)
 
     def index_server_dump(self, symbols: str, usages: str | None, repo: str, *, wanted: str = "name") -> IndexResult:
         """Index what a language server said of a repository (see ``sources.server``)."""

@@ -6,13 +6,19 @@ executors are one process, is a temporary one made if the session has none.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Tables written and not yet deleted, by the scope that is open, the innermost last.
+_open: list[dict[str, DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Return the shared folder; a cluster must have set one (RuntimeError), since others don't see a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -36,6 +42,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _open:
+        _open[-1][path] = out
     return out
 
 
@@ -46,6 +54,25 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        for scope in _open:
+            scope.pop(path, None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Deletes at its end all tables that were written inside, but for frames that are put into the list."""
+    made, kept = {}, []
+    _open.append(made)
+    try:
+        yield kept
+    finally:
+        _open.remove(made)
+        stay = {getattr(x, "_scratch_path", None) for x in kept}
+        for path, df in list(made.items()):
+            if path not in stay:
+                discard(df)
+            elif _open:
+                _open[-1][path] = df
 
 
 def numbered(rows: DataFrame, name: str, after: int = 0) -> DataFrame:

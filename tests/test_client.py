@@ -237,6 +237,21 @@ def test_changes_are_whole(spark):
     assert store.vacuum(0.0) > 0 and store.mappings.count() == 40 and store.nodes.count() == 3
 
 
+def test_scope_deletes_what_it_made(spark, tmp_path):
+    import os
+
+    from stratagraph.scratch import materialise, scope
+
+    at = lambda df: os.path.isdir(df._scratch_path.removeprefix("file://"))
+    with scope() as outer:
+        with scope() as inner:
+            a, b = materialise(spark.range(3), "a"), materialise(spark.range(4), "b")
+            inner.append(a)
+        assert at(a) and not at(b)
+        outer.append(materialise(spark.range(5), "c"))
+    assert not at(a) and outer[0].count() == 5
+
+
 def test_all_ways_to_match(spark):
     s = Store(spark)
     s.put_nodes([
