@@ -49,5 +49,8 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         later = found.select(F.col("node").alias("to"), "name")
         found = step.join(later, "to", "left").select("node", F.coalesce("name", "to").alias("name"))
     found = materialise(found, "named")
+    for step in maps:
+        discard(step)
+    discard(edges)
     roots = materialise(found.groupBy("name").agg(F.min("node").alias("root")), "roots")
     return found.join(roots, "name").select("node", "root")

@@ -382,6 +382,16 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_paragraphs(docs(spark, [(1, passage), (1, passage)])).count() == 0  # one document
 
 
+def test_substring_dedup_of_odd_tables(spark):
+    """Null, empty, blank and very long texts, repeated rows, null ids (one document) and clashing columns."""
+    r = random.Random(17)
+    passage = prose(r, 70)
+    rows = [*ODD, (20, passage), (21, prose(r, 9) + " " + passage), (21, prose(r, 9) + " " + passage), (22, prose(r, 40_000) + " " + passage)]
+    table = clash(docs(spark, rows)).withColumns({c: F.lit(1) for c in ("a", "w", "e", "w0", "w1", "class")})
+    found = substring_dedup.repeated_paragraphs(table).collect()
+    assert {x["d"] for x in found} == {20, 21, 22} and {x["d"] for x in found if not x["first"]} == {21, 22}
+
+
 def test_cuts_do_not_depend_on_the_batch():
     r = random.Random(11)
     texts = [prose(r, r.randint(0, 80)) for _ in range(20)]
