@@ -20,7 +20,7 @@ from stratagraph.llm.language_id import keep_identified, learn
 from stratagraph.llm.line_dedup import line_dedup
 from stratagraph.llm.mixture import mix
 from stratagraph.llm.simhash import drop_near_copies
-from stratagraph.scratch import materialise
+from stratagraph.scratch import discard, materialise, scope
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
+    """The stages over ``documents``, each written to the shared folder and read again; only the last one's table stays there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scope() as kept:
+            done = materialise(stage(spark, docs, sf_dir), name)
+            kept.append(done)
+        discard(docs)  # what the stage before wrote
+        docs = done
     return docs
