@@ -13,8 +13,10 @@ PIECE = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, text_at: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows with about ``size`` bytes of text, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    """A batch in runs of rows with about ``size`` bytes of text (or values of lists) in a column, one row at least."""
+    column = batch.column(text_at)
+    lengths = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(ends):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))

@@ -44,8 +44,10 @@ OWN_BANDS = 3
 LEAST_RUN, PASSAGE, OWN_RUN = 20, 50, 40
 #: Words between two repeated paragraphs that a run may bridge, if their classes' first occurrences lie alike.
 GAP = 20
-#: Members of a bucket that are compared in one task; more are dealt out by pairs of chunks.
-BUCKET_ROWS = 1_000
+#: Members of a bucket that are compared in one task, and words of them; more are dealt out by pairs of chunks.
+BUCKET_ROWS, BUCKET_WORDS = 1_000, 400_000
+#: Shingles that become Python numbers at once.
+VALUES = 100_000
 #: Bytes of text that are cut at once, about; words whose hashes a Python worker remembers.
 SLICE, MEMO = 1 << 19, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -279,7 +281,7 @@ def _link(batches):
     def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    for batch in batches:
+    for batch in (piece for b in batches for piece in pieces(b, 4, VALUES)):
         found = []
         for k, name, s in zip(zip(*(batch.column(c).to_pylist() for c in range(3))), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             if k != at:
@@ -358,12 +360,14 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(cuts)
     by_text = spots.groupBy("key", "a").agg(F.min(F.struct("d", "w")).alias("at"))
     mixed = spots.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
-    member = materialise(by_text.join(mixed, "key").select("key", "a", "at.*"), "members")
+    member = by_text.join(mixed, "key").select("key", "a", "at.*")
+    member = materialise(member.withColumn("n", F.col("w").bitwiseAND(0xFFFFFFFF) - F.shiftright("w", 32)), "members")
     where = member.groupBy("a").agg(F.min(F.struct("d", "w")).alias("at")).select("a", "at.*")
     sets = materialise(_shingle_sets(docs, id_col, text_col, where), "sets")
     # one bucket of those that hold the same paragraphs
-    groups = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "a")).alias("y"))
-    once = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("chunks"))
+    groups = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "a")).alias("y"))
+    chunks = F.greatest(F.ceil(F.col("n") / BUCKET_ROWS), F.ceil(F.col("words") / BUCKET_WORDS)).cast("int")
+    once = groups.groupBy("n", "words", "x", "y").agg(F.min("key").alias("key")).select("key", chunks.alias("chunks"))
     dealt = member.select("a", "key").join(once, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("key", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "a").join(sets, "a").select("key", "i", "j", "a", "s")
