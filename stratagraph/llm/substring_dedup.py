@@ -6,7 +6,8 @@ side.  The cuts depend on the words around them only, so that they fall alike
 in all copies of a passage, and a passage of 50 words holds whole paragraphs.
 
 A text's own paragraphs, its lines and its blocks between blank lines, are
-taken next to these pieces, so that near copies are compared as a whole.  The
+taken next to these pieces if they have ``OWN_RUN`` words, so that near copies
+of whole passages are compared as such.  The
 two kinds never mix: the lowest bit of a paragraph's hash tells them apart.
 
 Paragraphs are banded by MinHash over word shingles, equal ones among them.
@@ -216,7 +217,7 @@ def _cut_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         size, same = np.minimum(end - begin, 63), owner[1:] == owner[:-1]
         near = np.append(0, np.where(same, size[:-1], 0)) << 6 | np.append(np.where(same, size[1:], 0), 0)
         yield table(ids, owner[some], _named(own[some], 0), (begin - starts[owner])[some], (end - starts[owner])[some], near[some], [m[some] for m in bands])
-        spans = np.array([(k, a, b) for k, t in enumerate(lines) for a, b in own_paragraphs(t) if b - a >= SHINGLE], np.int64).reshape(-1, 3)
+        spans = np.array([(k, a, b) for k, t in enumerate(lines) for a, b in own_paragraphs(t) if b - a >= OWN_RUN], np.int64).reshape(-1, 3)
         if len(spans):
             owner, w0, w1 = spans.T
             own, bands = own_keys(hashes, w0 + starts[owner], w1 + starts[owner])
