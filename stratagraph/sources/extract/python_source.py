@@ -18,24 +18,54 @@ from .base import TOP, Extractor, edge, error, node
 ROOTS = ("", "/", "src", "lib", "packages")
 
 
+#: Lines at fault that are blanked with a parse of the whole file each, before it is taken in parts.
+WHOLE_TRIES = 16
+
+
 def tolerant(text: str) -> tuple[ast.Module, str | None]:
-    """The tree of as much of a text as parses, and what was wrong with it."""
+    """The tree of as much of a text as parses, and what was wrong with it.
+
+    A file with many faults is taken in parts, one from each line that begins
+    at the margin to the next, so that a fault costs a parse of its part only.
+    """
     lines, problem = text.split("\n"), None
-    for _ in range(len(lines) + 1):
+    for tries in range(len(lines) + 1):
+        if tries == WHOLE_TRIES:
+            margins = [k for k, x in enumerate(lines) if x[:1].strip() and x[0] not in ")]}#@" and not re.match(r"(?:el|except|finally)", x)]
+            for a, b in zip([0, *margins], [*margins, len(lines)]):
+                _blank(lines, a, b)
         try:
             return ast.parse("\n".join(lines)), problem
         except (SyntaxError, ValueError) as e:
             problem = problem or f"Syntax error: {getattr(e, 'msg', e)} (line {getattr(e, 'lineno', 0)})"
-            at = min(max((getattr(e, "lineno", None) or 1) - 1, 0), len(lines) - 1)
-            filled = [k for k in range(at, -1, -1) if lines[k].strip()]
-            if not filled:
-                filled = [k for k in range(len(lines)) if lines[k].strip()]
-                if not filled:
-                    break
-            lines[filled[0]] = ""
+            if not _blank_at(lines, e, 0, len(lines)):
+                break
     return ast.parse(""), problem
 
 
+def _blank(lines: list[str], start: int, end: int) -> None:
+    """Blank lines at fault from ``start`` up to ``end`` until they parse by themselves."""
+    for _ in range(end - start):
+        try:
+            ast.parse("\n".join(lines[start:end]))
+            return
+        except (SyntaxError, ValueError) as e:
+            if not _blank_at(lines, e, start, end):
+                return
+
+
+def _blank_at(lines: list[str], e: Exception, start: int, end: int) -> bool:
+    """Blank the line that an error names, or the filled one before it; whether there was one."""
+    at = min(max(start + (getattr(e, "lineno", None) or 1) - 1, start), end - 1)
+    filled = next((k for k in range(at, start - 1, -1) if lines[k].strip()), None)
+    if filled is None:
+        filled = next((k for k in range(start, end) if lines[k].strip()), None)
+    if filled is None:
+        return False
+    lines[filled] = ""
+    return True
+
+
 def absolute_module(path: str, dots: int, module: str | None) -> str:
     """The dotted name that a relative import means in a file at ``path``."""
     parts = path.strip("/").split("/")[:-1]

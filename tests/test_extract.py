@@ -238,3 +238,26 @@ def test_registry_and_errors():
     assert "UTF-8" in [r["message"] for r in records(REGISTRY, "x.py", b"\xff\xfe")][0]
     for path in ("x.py", "x.cs", "x.go", "x.php"):
         assert not list(records(REGISTRY, path, b""))
+
+
+def test_python_with_many_faults():
+    """Old syntax on very many lines costs a parse of its function each, and the rest is found."""
+    import time
+
+    from stratagraph.sources.extract.python_source import PythonExtractor
+
+    text = "".join(f"def f{k}(x):\n    y = g{k}(x)\n    print 'old', x\n    return y\n\n" for k in range(800))
+    began = time.perf_counter()
+    found = list(PythonExtractor().extract("a.py", text))
+    assert time.perf_counter() - began < 20
+    assert sum(r["record"] == "node" for r in found) == 800 and sum(r.get("edge_type") == "calls" for r in found) == 800
+    assert [r["record"] for r in found].count("error") == 1
+
+
+def test_python_deep_expressions_and_written_signatures():
+    from stratagraph.sources.extract.python_source import PythonExtractor
+
+    deep = "x = " + ".a".join(["f()"] + ["b()"] * 0) + "".join(f".m{k}()" for k in range(700)) + "\n"
+    found = list(PythonExtractor().extract("a.py", deep + "def g(a : int=1,\n      *b , c = 'x)'): pass\n"))
+    assert any(r.get("target_name") == "f" for r in found)
+    assert [r["signature"] for r in found if r.get("name") == "g"] == ["def g(a : int=1,\n      *b , c = 'x)')"]
