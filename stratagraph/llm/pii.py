@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .text import fresh
 
 KINDS = ("email", "ip", "card", "phone")
+#: What is found besides, by the generators and trees alone: passwords, tokens and keys.
+EVERY_KIND = (*KINDS, "secret")
 #: Labelled spans a kind that the trees are fitted and calibrated on.
 SPANS_PER_KIND = 1200
 #: Added spans have at least this share of true ones among the calibration spans scored as high.
@@ -47,13 +49,15 @@ _OBFUSCATED = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20{0,2}[\[({
 _ADDRESS = r"(?<![0-9A-Za-z_:.])(?:[0-9A-Fa-f]{0,4}:){2,7}+[0-9A-Fa-f]{0,4}+(?![0-9A-Za-z_:])|(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])"
 _CARD_WIDE = r"(?<![0-9])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{4}[./_\x20-]{1,2}[0-9]{6}[./_\x20-]{1,2}[0-9]{5}(?![0-9])"
 _PHONE_WIDE = r"(?<![0-9A-Za-z+.,:/-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,8}\)?){1,5}+(?![0-9A-Za-z]|[.,:/-][0-9])"
+_NAMED = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
+_SECRET = rf"(?i)(?<![A-Za-z0-9_])(?:[A-Za-z0-9_-]{{0,24}}?{_NAMED}s?[\"']?\x20{{0,2}}(?:=>|:=|=|:|\x20)\x20{{0,2}}[\"']?[A-Za-z0-9+/_.~!@#$%^&*=-]{{8,200}}+[\"']?|(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)[A-Za-z0-9_-]{{12,200}}+|[0-9a-f]{{32,128}}+(?![A-Za-z0-9]))"
 #: What a text must hold for a pattern to match at all: cheaper than the pattern.
-_HINTS = {_EMAIL: r"@", _IP: r"[0-9]\.[0-9]", _CARD: r"[0-9](?:[\x20-]?[0-9]){13}", _PHONE: r"\+[0-9]", _OBFUSCATED: r"(?i)@\x20|\x20@|[\[({<\x20_]at[\])}>\x20_]", _ADDRESS: r":[0-9A-Fa-f]{0,4}:|[0-9]\x20?[\[({]", _CARD_WIDE: r"[0-9]{4}[./_\x20-]{1,2}[0-9]{4}", _PHONE_WIDE: r"[0-9]\)?[\x20./-]{1,2}\(?[0-9]"}
+_HINTS = {_EMAIL: r"@", _IP: r"[0-9]\.[0-9]", _CARD: r"[0-9](?:[\x20-]?[0-9]){13}", _PHONE: r"\+[0-9]", _OBFUSCATED: r"(?i)@\x20|\x20@|[\[({<\x20_]at[\])}>\x20_]", _ADDRESS: r":[0-9A-Fa-f]{0,4}:|[0-9]\x20?[\[({]", _CARD_WIDE: r"[0-9]{4}[./_\x20-]{1,2}[0-9]{4}", _PHONE_WIDE: r"[0-9]\)?[\x20./-]{1,2}\(?[0-9]", _SECRET: rf"(?i){_NAMED}|AKIA|ASIA|gh[po]_|sk-|xox|[0-9a-f]{{32}}"}
 BASE = dict(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE)))
-WIDE = dict(zip(KINDS, (_OBFUSCATED, _ADDRESS, _CARD_WIDE, _PHONE_WIDE)))
+WIDE = dict(zip(EVERY_KIND, (_OBFUSCATED, _ADDRESS, _CARD_WIDE, _PHONE_WIDE, _SECRET)))
 
 #: Words that speak for or against a kind where they stand near a span.
-_FOR = {"email": "mail|write|contact|reach", "ip": "ip|addr|host|server|ping|login", "card": "card|visa|master|amex|credit|debit|payment|karte|carte|tarjeta", "phone": "phone|tel|call|mobile|cell|fax|dial|sms|contact|ruf"}
+_FOR = {"email": "mail|write|contact|reach", "ip": "ip|addr|host|server|ping|login", "card": "card|visa|master|amex|credit|debit|payment|karte|carte|tarjeta", "phone": "phone|tel|call|mobile|cell|fax|dial|sms|contact|ruf", "secret": "key|login|secret|token|export|config|credential"}
 _AGAINST = "order|invoice|version|isbn|serial|build|part|page|ref|total|table|id|no\\.|nr|section|line|figure|score|date"
 
 #: Format and context features: name, Java and Python regular expression, what it is matched with.
@@ -63,6 +67,8 @@ _PATTERNS = [
     ("tld", r"(?i)[.\x20\])}>_](?:com|org|net|edu|gov|io|info|biz|eu|de|fr|es|it|nl|uk|us|ch|at|be|pl|se|ca|au|br|jp|cn|in|test|example)$", "m"), ("issuer", r"^(?:4|5[1-5]|3[47]|6)", "m"),
     ("double_colon", r"::", "m"), ("one_gap", r"^(?!.*::.*::)(?!:[^:])(?!.*[^:]:$).*::", "m"), ("eight", r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$", "m"), ("hex_letter", r"[A-Fa-f]", "m"), ("fenced_dots", r"[\[({](?:\.|dot)[\])}]", "m"), ("byte_parts", r"^(?:(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:[^0-9]+|$)){4}$", "m"),
     ("pairs", r"^0[0-9](?:[\x20./-][0-9]{2}){4}$", "m"), ("three_four", r"^[0-9]{3}[\x20.-][0-9]{4}$", "m"), ("date", r"^(?:19|20)[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}$|^[0-9]{2}[-/.][0-9]{2}[-/.](?:19|20)?[0-9]{2}$", "m"), ("ten", r"^\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}$", "m"), ("long_prefix", r"^(?:00[1-9]|\(?0[1-9][0-9]{1,4}\)?[\x20/-])", "m"),
+    ("named", rf"(?i){_NAMED}", "m"), ("assigned", r"[=:]", "m"), ("quoted", r"[\"']", "m"), ("long_hex", r"(?i)(?<![0-9a-z])[0-9a-f]{32,}", "m"), ("prefix", r"AKIA|ASIA|gh[po]_|sk-|xox[bap]-", "m"), ("mixed", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "m"),
+    ("value_digit", r"[=:\x20][\"']?[^=:\x20\"']*[0-9][^=:\x20\"']*[\"']?$", "m"), ("value_long", r"[=:\x20][\"']?[^=:\x20\"']{16,}[\"']?$", "m"), ("checksum", r"(?i)(?:md5|sha|sha1|sha256|commit|hash|checksum|rev|etag|id)[^A-Za-z0-9]{0,3}$", "l"),
     ("against", rf"(?i)(?<![a-z])(?:{_AGAINST})", "l"), ("hash_before", r"[#$€£=/]\x20?$", "l"), ("colon_before", r":\x20?$", "l"),
     ("number_before", r"[0-9][\x20,;.]{1,2}$", "l"), ("number_after", r"^[\x20,;.]{1,2}[0-9]", "r"), ("unit_after", r"(?i)^\x20?(?:kg|km|%|eur|usd|\$|€|pm|am|mm)", "r"),
 ] + [(f"for_{k}", rf"(?i)(?<![a-z])(?:{v})", "l") for k, v in _FOR.items()]
@@ -135,7 +141,7 @@ def _located(text: Column, pattern: str, kind: str, context: bool = False) -> Co
     head = lambda c: F.substring(c, 1, CONTEXT)
     tail = lambda c: F.right(c, F.lit(CONTEXT))
     span = "s:int,e:int,k:int,m:string"
-    ends = lambda at, x: F.struct((at + F.length(x["g"])).alias("s"), (at + F.length(x["g"]) + F.length(x["m"])).alias("e"), F.lit(KINDS.index(kind)).alias("k"), x["m"].alias("m"))
+    ends = lambda at, x: F.struct((at + F.length(x["g"])).alias("s"), (at + F.length(x["g"]) + F.length(x["m"])).alias("e"), F.lit(EVERY_KIND.index(kind)).alias("k"), x["m"].alias("m"))
     if not context:
         step = lambda at, x: at + F.length(x["g"]) + F.length(x["m"])
         out = _scan(pairs, F.lit(0), step, lambda at, x: F.array(ends(at, x)), f"struct<{span}>")
@@ -211,13 +217,28 @@ def training_spans(per_kind: int = SPANS_PER_KIND, seed: int = 7) -> dict[str, l
 
     fenced = lambda: r.choice(["[.]", "(.)", "[dot]", " [.] "]).join(str(r.randrange(256)) for _ in range(4))
     date = lambda: r.choice([f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28):02}.{r.randint(1, 12):02}.{r.randint(1990, 2030)}", f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/{r.randint(10, 99)}"])
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n - 1)) + d(1)
+    named = lambda: r.choice(["token", "api_key", "secret", "password", "AUTH_TOKEN", "apiKey", "aws_secret_access_key", "client-secret", "db_password", "Bearer"])
+
+    def secret() -> str:
+        value = r.choice([lambda: hexed(r.choice([32, 40, 64])), lambda: mixed(r.randint(16, 44)), lambda: mixed(r.randint(9, 15))])()
+        quote = r.choice(["", '"', "'"])
+        form = r.choice([lambda: f"{named()}{r.choice([' = ', '=', ': ', ':', ' := '])}{quote}{value}{quote}", lambda: f"Bearer {mixed(30)}", lambda: f"AKIA{''.join(r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))}", lambda: f"ghp_{mixed(36)}", lambda: f"sk-{mixed(40)}"])
+        return r.choice([str, str, str.upper])(form())
+
     plus = {
         "email": lambda: (email(), r.choice([prose(), near(["mail", "contact", "write"])]), " " + prose()),
         "ip": lambda: (r.choice([v6, v6, fenced])(), r.choice([prose(), near(["IP", "host", "addr"])]), " " + prose()),
         "card": lambda: (card(True), r.choice([prose(), near(["card", "Visa", "payment"])]), " " + prose()),
         "phone": lambda: (phone(), near(["phone", "Tel.", "call", "mobile", "fax", "dial", "Tel"]), r.choice([" ", ", ", "."]) + prose()),
     }
+    plus["secret"] = lambda: (secret(), r.choice([prose(), near(["config", "export"])]), " " + prose())
     minus = {
+        "secret": lambda: r.choice([
+            lambda: (f"{r.choice(['token', 'secret', 'password', 'passwords', 'auth', 'bearer'])}{r.choice([' ', ': ', ' = '])}{word()}{word()}{word()}", prose(), " " + prose()), lambda: (hexed(r.choice([32, 40, 64])), f"{prose()}{r.choice(['md5 ', 'sha256: ', 'commit ', 'checksum ', 'etag '])}", " " + prose()),
+            lambda: (hexed(r.choice([32, 40, 64])), prose(), " " + prose()), lambda: (f"{r.choice(['token', 'password', 'secret'])} {word()}{word()}{word()}", prose(), " " + prose()), lambda: (f"{r.choice(['auth', 'token', 'secret'])}: {word()}.{word()}.{word()}", prose(), " " + prose()),
+        ])(),
         "email": lambda: r.choice([lambda: (f"{word()} at {word()}.{word()}lo", prose(), " " + prose()), lambda: (f"{word()} at {word()}. {word().capitalize()}", prose(), " " + prose()), lambda: (f"{word()} at {word()} dot {word()}lo", prose(), " " + prose())])(),
         "ip": lambda: r.choice([
             lambda: (":".join(d(2) for _ in range(r.randint(3, 6))), r.choice([prose(), near(against)]), " " + prose()), lambda: (":".join(f"{r.randrange(256):02x}" for _ in range(6)), r.choice([prose(), near(["mac", "device"])]), " " + prose()),
@@ -230,7 +251,7 @@ def training_spans(per_kind: int = SPANS_PER_KIND, seed: int = 7) -> dict[str, l
         ])(),
     }
     out = {}
-    for kind in KINDS:
+    for kind in EVERY_KIND:
         rows = [(*plus[kind](), 1) for _ in range(per_kind // 2)] + [(*minus[kind](), 0) for _ in range(per_kind // 2)]
         r.shuffle(rows)
         out[kind] = rows
@@ -286,8 +307,8 @@ def fitted(kind: str) -> tuple[list, float]:
     for n, (score, label) in enumerate(scored, 1):
         good += label
         last = n == len(scored) or scored[n][0] < score
-        if last and good / n >= PRECISION:  # between two scores, so that the order of a sum can't matter
-            threshold = (score + scored[n][0]) / 2 if n < len(scored) else score - 1e-6
+        if last and good / n >= PRECISION:  # a little less, so that the order of a sum can't matter
+            threshold = score - 1e-6
     return trees, threshold
 
 
@@ -317,7 +338,8 @@ def _accepted(text: Column, kind: str) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text", base_name: str = "base", spans_name: str = "spans") -> DataFrame:
     """``docs`` with two arrays of ``struct<s,e,k>``: base spans and all spans.
 
-    ``s`` and ``e`` (exclusive) are code points, ``k`` an index of ``KINDS``.
+    ``s`` and ``e`` (exclusive) are code points, ``k`` an index of ``EVERY_KIND``;
+    the base has spans of ``KINDS`` only.
     Both are in order of start, then kind.  A null text is empty and has no
     span.  A name that ``docs`` has already gets underscores in front.  Each row stands for itself, so repeated rows and null ids change
     nothing.  Spans of different kinds may overlap in the base; what is added
@@ -327,7 +349,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", base_name: str = "base", s
     base_name, spans_name = fresh(docs, base_name, spans_name)
     bare = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     base = F.array_sort(F.concat(*[bare(_based(text, k)) for k in KINDS]))
-    more = F.array_sort(F.concat(*[bare(_accepted(text, k)) for k in KINDS]))
+    more = F.array_sort(F.concat(*[bare(_accepted(text, k)) for k in EVERY_KIND]))
     more_name, free_name = fresh(docs, "__more", "__free")
     out = docs.withColumn(base_name, base).withColumn(more_name, more)
     # an added span is clear of the base if no base span that begins before its end ends after its start
@@ -347,7 +369,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[{}]") -> DataF
     base, spans, parts = fresh(docs, "base", "spans", "__parts")
     found = find_pii(docs, text_col, base, spans)
     t = F.col(f"`{text_col}`")
-    names = F.array(*[F.lit(mask.format(k)) for k in KINDS])
+    names = F.array(*[F.lit(mask.format(k)) for k in EVERY_KIND])
     put = lambda x: F.struct(x["s"].alias("s"), F.get(names, x["k"]).alias("m"), x["e"].alias("e"))
     # what stays lies between the ends so far and the next start
     emit = lambda a, x: F.when(x["s"] < a, F.array().cast("array<struct<a:int,b:int,m:string>>")).otherwise(F.array(F.struct(a.alias("a"), x["s"].alias("b"), x["m"].alias("m"))))
@@ -370,4 +392,4 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     digest = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
     of = lambda i: F.filter("base", lambda x: x["k"] == i)
     n = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *n, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", *n, F.sha2(digest("base"), 256).alias("base_sha256"), digest(F.filter("spans", lambda x: x["k"] < len(KINDS))).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: x["k"] >= len(KINDS))).cast("long").alias("n_secrets"))
