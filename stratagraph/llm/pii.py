@@ -64,7 +64,7 @@ _AGAINST = "order|invoice|version|isbn|serial|build|part|page|ref|total|table|id
 _PATTERNS = [
     ("paren", r"^\(", "m"), ("paren_in", r"[(\[{]", "m"), ("dots", r"[0-9]\.[0-9]", "m"), ("hyphens", r"[0-9]-[0-9]", "m"), ("spaces", r"[0-9]\x20[0-9]", "m"),
     ("slashes", r"[/_]", "m"), ("zero", r"^\(?0", "m"), ("year", r"(?:19|20)[0-9]{2}", "m"), ("bracket_at", r"(?i)[\[({<]\x20?at\x20?[\])}>]|_at_|@", "m"), ("dot_word", r"(?i)[\[({<\x20_]dot[\])}>\x20_]", "m"), ("tight_dot", r"[A-Za-z0-9-]\.[A-Za-z0-9-]+$", "m"),
-    ("tld", r"(?i)[.\x20\])}>_](?:com|org|net|edu|gov|io|info|biz|eu|de|fr|es|it|nl|uk|us|ch|at|be|pl|se|ca|au|br|jp|cn|in|test|example)$", "m"), ("issuer", r"^(?:4|5[1-5]|3[47]|6)", "m"),
+    ("tld", r"(?i)(?:\.|dot[\])}>\x20_]{1,2})(?:com|org|net|edu|gov|io|info|biz|eu|de|fr|es|it|nl|uk|us|ch|at|be|pl|se|ca|au|br|jp|cn|in|test|example)$", "m"), ("issuer", r"^(?:4|5[1-5]|3[47]|6)", "m"),
     ("double_colon", r"::", "m"), ("one_gap", r"^(?!.*::.*::)(?!:[^:])(?!.*[^:]:$).*::", "m"), ("eight", r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$", "m"), ("hex_letter", r"[A-Fa-f]", "m"), ("fenced_dots", r"[\[({](?:\.|dot)[\])}]", "m"), ("byte_parts", r"^(?:(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:[^0-9]+|$)){4}$", "m"),
     ("pairs", r"^0[0-9](?:[\x20./-][0-9]{2}){4}$", "m"), ("three_four", r"^[0-9]{3}[\x20.-][0-9]{4}$", "m"), ("date", r"^(?:19|20)[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}$|^[0-9]{2}[-/.][0-9]{2}[-/.](?:19|20)?[0-9]{2}$", "m"), ("ten", r"^\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}$", "m"), ("long_prefix", r"^(?:00[1-9]|\(?0[1-9][0-9]{1,4}\)?[\x20/-])", "m"),
     ("named", rf"(?i){_NAMED}", "m"), ("assigned", r"[=:]", "m"), ("quoted", r"[\"']", "m"), ("long_hex", r"(?i)(?<![0-9a-z])[0-9a-f]{32,}", "m"), ("prefix", r"AKIA|ASIA|gh[po]_|sk-|xox[bap]-", "m"), ("mixed", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "m"),
@@ -239,7 +239,7 @@ def training_spans(per_kind: int = SPANS_PER_KIND, seed: int = 7) -> dict[str, l
             lambda: (f"{r.choice(['token', 'secret', 'password', 'passwords', 'auth', 'bearer'])}{r.choice([' ', ': ', ' = '])}{word()}{word()}{word()}", prose(), " " + prose()), lambda: (hexed(r.choice([32, 40, 64])), f"{prose()}{r.choice(['md5 ', 'sha256: ', 'commit ', 'checksum ', 'etag '])}", " " + prose()),
             lambda: (hexed(r.choice([32, 40, 64])), prose(), " " + prose()), lambda: (f"{r.choice(['token', 'password', 'secret'])} {word()}{word()}{word()}", prose(), " " + prose()), lambda: (f"{r.choice(['auth', 'token', 'secret'])}: {word()}.{word()}.{word()}", prose(), " " + prose()),
         ])(),
-        "email": lambda: r.choice([lambda: (f"{word()} at {word()}.{word()}lo", prose(), " " + prose()), lambda: (f"{word()} at {word()}. {word().capitalize()}", prose(), " " + prose()), lambda: (f"{word()} at {word()} dot {word()}lo", prose(), " " + prose())])(),
+        "email": lambda: r.choice([lambda: (f"{word()} at {word()}.{word()}lo", prose(), " " + prose()), lambda: (f"{word()} at {word()}. {r.choice(['It', 'In', 'At', 'Be', 'Us', word().capitalize()])}", prose(), " " + prose()), lambda: (f"{word()} at {word()} dot {word()}lo", prose(), " " + prose())])(),
         "ip": lambda: r.choice([
             lambda: (":".join(d(2) for _ in range(r.randint(3, 6))), r.choice([prose(), near(against)]), " " + prose()), lambda: (":".join(f"{r.randrange(256):02x}" for _ in range(6)), r.choice([prose(), near(["mac", "device"])]), " " + prose()),
             lambda: (f"{d(1)}:{d(2)}:{d(2)}", prose(), " " + prose()), lambda: (r.choice(["::", "a::b::c", "12::34::", ":::", "1:2:3:", ":5:6"]), prose(), " " + prose()), lambda: (r.choice(["[.]", "(.)"]).join(str(r.randrange(256, 1000)) for _ in range(4)), prose(), " " + prose()),

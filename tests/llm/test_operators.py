@@ -173,7 +173,7 @@ def test_pii_forms_of_another_hand(spark):
         "phone": ["Tel. 01 23 45 67 89 (matin)", "call 555-0134 before noon", "phone: (415) 555-0132", "Fax 030/1234567 nur werktags", "mobile 0049 30 1234 5678, please", "Tel: 0171-1234567."],
     }
     plus["secret"] = ['set token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" first', "db_password: hunter2Hunter2", "export API_KEY=AbCdEf0123456789xyz", "TOKEN = '9F86D081884C7D659A2FEAA0C55AD015'", "use ghp_16C7e42F292c6912E7710c838347Ae178B4a now"]
-    minus = ["the password was forgotten", "md5 9f86d081884c7d659a2feaa0c55ad015 of the file", "a secret garden", "token economics explained", "we met at home. Then we left", "the shop at number.seven was shut", "std::vector and a::b are names", "wake me at 10:20:30 sharp", "mac 00:1a:2b:3c:4d:5e of the card", "on 2024-01-15 it rained", "version 10 20 30 of the plan", "pages 100-120 and 200-250", "scores 12 13 14 15", "bid 4111.1111.1111.1112 lost", "ISBN 978 3 16 148410", "order 555-0134 shipped"]
+    minus = ["the password was forgotten", "md5 9f86d081884c7d659a2feaa0c55ad015 of the file", "a secret garden", "looked at and. It was late", "sat at home. In time", "token economics explained", "we met at home. Then we left", "the shop at number.seven was shut", "std::vector and a::b are names", "wake me at 10:20:30 sharp", "mac 00:1a:2b:3c:4d:5e of the card", "on 2024-01-15 it rained", "version 10 20 30 of the plan", "pages 100-120 and 200-250", "scores 12 13 14 15", "bid 4111.1111.1111.1112 lost", "ISBN 978 3 16 148410", "order 555-0134 shipped"]
     rows = {x["text"]: {pii.EVERY_KIND[s["k"]] for s in x["spans"]} for x in pii.find_pii(docs(spark, enumerate([t for some in plus.values() for t in some] + minus))).collect()}
     missed = [t for kind, some in plus.items() for t in some if kind not in rows[t]]
     wrong = [t for t in minus if rows[t]]
