@@ -46,7 +46,7 @@ LEAST_RUN, PASSAGE, OWN_RUN = 20, 50, 40
 #: Words between two repeated paragraphs that a run may bridge, if their classes' first occurrences lie alike.
 GAP = 20
 #: Members of a bucket that are compared in one task, and words of them; more are dealt out by pairs of chunks.
-BUCKET_ROWS, BUCKET_WORDS = 1_000, 400_000
+BUCKET_ROWS, BUCKET_WORDS = 500, 400_000
 #: Shingles that become Python numbers at once.
 VALUES = 100_000
 #: Bytes of text that are cut at once, about; words whose hashes a Python worker remembers.
