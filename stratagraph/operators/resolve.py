@@ -1,9 +1,9 @@
 """Extracted names to ids: nodes, and edges whose ends are looked up by rank.
 
-All nodes come first, then one job resolves every edge: equi joins produce
-candidates, each with its rank, and an aggregate keeps the best one of each
-end.  A candidate table holds one node per name and file or repository, so
-that a join never multiplies rows.
+All nodes come first, then one job resolves every edge: left joins look each
+end up by file, module and repository, and the best hit is kept.  What is
+looked up in holds one node per name and file or repository, so that a join
+never multiplies rows and no rows of an edge have to be brought together.
 """
 
 from __future__ import annotations
@@ -91,47 +91,40 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame, visibility: str = "full")
     repository with that name.  ``visibility="sequential"`` looks only at
     files up to the edge's own, in order of path.
     """
-    n = nodes.select("id", "file_path", "name", "qualified_name", "seq", "node_type")
+    n = nodes.select("id", "file_path", "name", "qualified_name", "seq", "node_type").withColumn("at", F.struct("seq", "id"))
     sequential = visibility == "sequential"
-    e = edges.withColumn("edge", F.struct("file_path", "ordinal"))
-    ends = e.select("edge", "file_path", F.explode(F.array(F.struct(F.lit("s").alias("end"), F.col("source_name").alias("sought"), F.lit(None).cast("string").alias("module")), F.struct(F.lit("t").alias("end"), F.col("target_name").alias("sought"), F.col("target_module").alias("module")))).alias("x")).select("edge", "file_path", "x.*")
-    top = F.col("sought") == MODULE
-
-    def hit(df: DataFrame, rank: int) -> DataFrame:
-        return df.select("edge", "end", F.lit(rank).alias("rank"), F.col("at.seq").alias("seq"), F.col("at.id").alias("id"))
-
-    place = F.struct("seq", "id")
-    own = n.where("qualified_name is not null").groupBy("file_path", F.col("qualified_name").alias("sought")).agg(F.max(place).alias("at"))
-    in_file = n.select("file_path", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("sought"), "seq", "id").where("sought is not null").groupBy("file_path", "sought").agg(F.min(place).alias("at"))
-    module_node = n.where("node_type = 'module'").groupBy("file_path").agg(F.min(place).alias("at"))
-    found = [hit(ends.where(~top).join(own, ["file_path", "sought"]), 0), hit(ends.where(top).join(module_node, "file_path"), 1)]
-
-    # every dotted ending of a qualified name, so that the suffix test is an equi join within the file
+    # what a file offers under a name, one row each, so that a join never multiplies edges
     parts = F.split("qualified_name", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce(tails, F.array().cast("array<string>"))))
-    in_module = n.select(F.col("file_path").alias("module_file"), F.explode(names).alias("sought"), "seq", "id").groupBy("module_file", "sought").agg(F.min(place).alias("at"))
-    hinted = ends.where(~top & F.col("module").isNotNull()).join(module_files(nodes), "module")
-    if not sequential:  # of a call a.b.f() the extractor says b.f in a.b
-        own_name = F.concat(F.element_at(F.split("module", r"\."), -1), F.lit("."))
-        hinted = hinted.withColumn("sought", F.when(F.startswith("sought", own_name), F.substr("sought", F.length(own_name) + 1)).otherwise(F.col("sought")))
-    hinted = hinted.join(in_module, ["module_file", "sought"])
-    if sequential:
-        hinted = hinted.where("module_file <= file_path")
-    found += [hit(hinted, 2), hit(ends.where(~top).join(in_file, ["file_path", "sought"]), 3)]
+    offer = n.select("file_path", "at", "name", "qualified_name", F.explode(names).alias("sought")).where("sought is not null")
+    whole = F.col("sought").eqNullSafe(F.col("qualified_name"))
+    offer = offer.select("file_path", "sought", F.when(whole, F.col("at")).alias("own"), F.when(whole | F.col("sought").eqNullSafe(F.col("name")), F.col("at")).alias("named"), F.col("at").alias("any"))
+    offer = offer.groupBy("file_path", "sought").agg(F.max("own").alias("own"), F.min("named").alias("named"), F.min("any").alias("any"))
+    tops = n.where("node_type = 'module'").groupBy("file_path").agg(F.min("at").alias("own")).withColumn("sought", F.lit(MODULE))
+    in_file = offer.where(F.col("sought") != MODULE).select("file_path", "sought", "own", "named").unionByName(tops, allowMissingColumns=True)
+    in_module = offer.where(F.col("sought") != MODULE).select(F.col("file_path").alias("module_file"), "sought", F.col("any").alias("by_module"))
     # the first of the repository is also the first of those seen so far, if any is
-    anywhere = n.groupBy(F.col("name").alias("sought")).agg(F.min(F.struct("seq", "id", "file_path")).alias("at"))
-    wide = ends.where(~top).join(anywhere, "sought")
-    if sequential:
-        wide = wide.where("at.file_path <= file_path")
-    found.append(hit(wide, 4))
-
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = every.groupBy("edge").agg(*[F.min(F.when(F.col("end") == end, F.struct("rank", "seq", "id"))).alias(end) for end in ("s", "t")])
-    best = best.where("s is not null and t is not null").select("edge", F.col("s.id").alias("source_id"), F.col("t.id").alias("target_id"))
-    return e.join(best, "edge").drop("edge")
+    anywhere = n.where(F.col("name") != MODULE).groupBy(F.col("name").alias("sought")).agg(F.min(F.struct("seq", "id", "file_path")).alias("wide"))
+
+    def looked_up(e: DataFrame, sought: str, found: str) -> DataFrame:
+        """``e`` with what the edge's file offers by qualified name, and the best of what it and the repository offer otherwise."""
+        both = e.join(in_file.withColumnRenamed("sought", sought), ["file_path", sought], "left").join(anywhere.withColumnRenamed("sought", sought), sought, "left")
+        wide = F.when(F.col("wide.file_path") <= F.col("file_path"), F.col("wide.id")) if sequential else F.col("wide.id")
+        return both.withColumn(f"{found}_own", F.col("own.id")).withColumn(f"{found}_rest", F.coalesce(F.col("named.id"), wide)).drop("own", "named", "wide")
+
+    e = looked_up(edges, "source_name", "_s").withColumn("source_id", F.coalesce("_s_own", "_s_rest")).drop("_s_own", "_s_rest").where("source_id is not null")
+    e = looked_up(e, "target_name", "_t")
+    module = F.when(F.col("target_name") != MODULE, F.col("target_module"))
+    e = e.withColumn("_module", module).join(module_files(nodes).withColumnRenamed("module", "_module"), "_module", "left")
+    asked = F.col("target_name")
+    if not sequential:  # of a call a.b.f() the extractor says b.f in a.b
+        own_name = F.concat(F.element_at(F.split("_module", r"\."), -1), F.lit("."))
+        asked = F.when(F.startswith("target_name", own_name), F.substr("target_name", F.length(own_name) + 1)).otherwise(asked)
+    seen = F.col("module_file") <= F.col("file_path") if sequential else F.lit(True)
+    e = e.withColumn("sought", F.when(F.col("module_file").isNotNull() & seen, asked)).join(in_module, ["module_file", "sought"], "left")
+    e = e.withColumn("target_id", F.coalesce("_t_own", "by_module.id", "_t_rest")).where("target_id is not null")
+    return e.select(*[c for c in edges.columns if c not in ("source_id", "target_id")], "source_id", "target_id")
 
 
 def edge_rows(resolved: DataFrame) -> DataFrame:
