@@ -261,3 +261,29 @@ def test_python_deep_expressions_and_written_signatures():
     found = list(PythonExtractor().extract("a.py", deep + "def g(a : int=1,\n      *b , c = 'x)'): pass\n"))
     assert any(r.get("target_name") == "f" for r in found)
     assert [r["signature"] for r in found if r.get("name") == "g"] == ["def g(a : int=1,\n      *b , c = 'x)')"]
+
+
+def test_shared_registry():
+    from stratagraph.sources import extract
+
+    class Toml(extract.Extractor):
+        language, extensions = "toml-test", (".toml-test",)
+
+    extract.register(Toml())
+    try:
+        assert extract.extractor_of("toml-test") is extract.extractor_for_file("a/b.TOML-test") is extract.shared_registry().get("toml-test")
+        assert extract.extractor_for_file("a.none") is None and extract.extractor_of("none") is None
+        with pytest.raises(ValueError):
+            extract.register(Toml())
+    finally:
+        extract.shared_registry().unregister("toml-test")
+
+
+def test_language_of():
+    from stratagraph.sources.extract import default_registry
+    from stratagraph.sources.repo import language_of
+
+    assert [language_of(p, default_registry()) for p in ("a.PY", "b.go", "c.xaml", "d.tsx")] == ["python", "go", "xaml", "typescript"]
+    for path in ("a.unknown", "Makefile"):
+        with pytest.raises(ValueError):
+            language_of(path, default_registry())
