@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from stratagraph.sources.extract import default_registry, records
 from stratagraph.sources.extract.python_source import absolute_module
 
