@@ -218,7 +218,10 @@ def test_many_profiles_in_one_file(spark, tmp_path):
     assert c.store.function_stats.where("symbol_id is null").count() == 0
 
 
-def test_changes_are_whole(spark):
+def test_changes_are_whole(spark, monkeypatch):
+    from stratagraph import store as store_module
+
+    monkeypatch.setattr(store_module, "SEGMENTS", 3)
     store = Store(spark)
     store.put_nodes([node("a", "f", "a.py"), node("b", "g", "b.py")])
     with pytest.raises(RuntimeError, match="midway"), store.change():
@@ -231,10 +234,10 @@ def test_changes_are_whole(spark):
         other.put_nodes([node("c", "h", "c.py")])
         store.put_nodes([node("d", "h", "d.py")])
     assert {r["id"] for r in store.nodes.collect()} == {"a", "b", "c"}
-    for k in range(40):
+    for k in range(6):
         store.put_mappings([{"frame_name": f"n{k}", "symbol_id": "s"}])
-    assert store.mappings.count() == 40 and len(store._segments("frame_symbol_mappings")) <= 33
-    assert store.vacuum(0.0) > 0 and store.mappings.count() == 40 and store.nodes.count() == 3
+    assert store.mappings.count() == 6 and len(store._segments("frame_symbol_mappings")) <= 4
+    assert store.vacuum(0.0) > 0 and store.mappings.count() == 6 and store.nodes.count() == 3
 
 
 def test_scope_deletes_what_it_made(spark, tmp_path):
