@@ -185,7 +185,7 @@ def test_pii_in_texts_with_very_many_matches(spark):
     import time
 
     took = []
-    for n in (2_000, 16_000):
+    for n in (1_000, 8_000):
         text = " ".join(f"a{k}@b.de tel 030/{1000000 + k} x{k} [at] y.com 10.0.0.{k % 300}" for k in range(n))
         df = docs(spark, [(1, text)])
         began = time.perf_counter()
