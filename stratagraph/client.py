@@ -100,7 +100,7 @@ class Client:
             return self._indexed(*given, **named)
 
     def _indexed(self, root: str, rows: DataFrame, visibility: str, progress: Progress | None, only: str | None = None, clear: bool = False, extractor: Extractor | None = None) -> IndexResult:
-        found = materialise(extract_files(rows, self.registry, extractor), "extracted")
+        found = materialise(extract_files(rows, self.registry, extractor, spread=False), "extracted")  # read_repo deals files out
         counts = found.groupBy("file_path").agg(F.max((F.col("record") == "node").cast("int")).alias("some"), F.max((F.col("record") == "error").cast("int")).alias("bad"))
         counts = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("bad") == 1) & (F.col("some") == 0)).cast("int")).alias("failed")).first()
         errors = [f"{r['file_path']}: {r['message']}" for r in found.where("record = 'error'").orderBy("file_path", "ordinal").limit(ERRORS_SHOWN).collect()]

@@ -1,10 +1,13 @@
 """Extractors: snippets of each language, and what they must yield."""
 
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratagraph.sources.extract import default_registry, records
+from stratagraph.sources.extract import default_registry, extract_files, records
+from stratagraph.sources.extract.base import Tokens
 from stratagraph.sources.extract.python_source import absolute_module
 
 REGISTRY = default_registry()
@@ -289,3 +292,23 @@ def test_language_of():
     for path in ("a.unknown", "Makefile"):
         with pytest.raises(ValueError):
             language_of(path, default_registry())
+
+
+def test_files_of_one_partition_are_dealt_out(spark):
+    """A table of short rows is read by one task; the extraction must not be."""
+    files = spark.range(400).coalesce(1).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".go")).alias("file_path"), F.encode(F.lit("package p\nfunc F() { g() }\n"), "UTF-8").alias("content"))
+    rows = extract_files(files, REGISTRY).withColumn("task", F.spark_partition_id())
+    tasks = {r["task"]: r["n"] for r in rows.where("record = 'file'").groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(tasks.values()) == 400 and len(tasks) >= 8 and max(tasks.values()) < 100
+
+
+def test_columns_of_long_lines_with_wide_characters():
+    """Columns are bytes, and a line costs what its length is, not the square of it."""
+    text = "/* ü */ é(); 'ß' + b()\n" + "é(a);" * 40_000 + "\nx"
+    began = time.perf_counter()
+    tokens = Tokens(text, [("comment", r"/\*.*?\*/"), ("skip", r"\s+"), ("string", r"'[^']*'"), ("word", r"\w+"), ("op", r"[^\s\w]")])
+    assert time.perf_counter() - began < 5
+    lines = text.split("\n")
+    for t in [*tokens.tokens[:40], *tokens.tokens[-40:]]:
+        before = sum(len(x) + 1 for x in lines[: t.line - 1])
+        assert t.column == len(text[before : t.start].encode())
