@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from .graph import page
 from ..schema import ValueUnit
+from ..scratch import spread_out
 
 _FRAME = StructType([StructField("name", StringType()), StructField("file", StringType()), StructField("line", IntegerType()), StructField("col", IntegerType())])
 _EVENT = StructType([StructField("type", StringType()), StructField("frame", IntegerType()), StructField("at", DoubleType())])
@@ -85,10 +86,11 @@ def bronze_profiles(raw: DataFrame, repo_path: str | None = None, metadata: dict
     )
 
 
-def frame_rows(bronze: DataFrame) -> DataFrame:
-    """The frames of each profile; a frame without a name is ``<unknown>``."""
-    rows = bronze.select(F.col("id").alias("profile_id"), F.posexplode("frames").alias("frame_index", "f"))
-    return rows.select("profile_id", "frame_index", F.coalesce("f.name", F.lit("<unknown>")).alias("name"), F.col("f.file").alias("file"), F.col("f.line").alias("line"), F.col("f.col").alias("col"))
+def frame_rows(bronze: DataFrame, profile_name: bool = False) -> DataFrame:
+    """The frames of each profile; a frame without a name is ``<unknown>``. ``profile_name`` adds the profile's name."""
+    named = {"profile_name": F.col("name")} if profile_name else {}
+    rows = bronze.select(F.col("id").alias("profile_id"), *[c.alias(k) for k, c in named.items()], F.posexplode("frames").alias("frame_index", "f"))
+    return rows.select("profile_id", *named, "frame_index", F.coalesce("f.name", F.lit("<unknown>")).alias("name"), F.col("f.file").alias("file"), F.col("f.line").alias("line"), F.col("f.col").alias("col"))
 
 
 def percentage(part: Column, whole: Column) -> Column:
@@ -114,12 +116,17 @@ def sampled_weights(samples: DataFrame, keys: list[str], stack: str = "stack", w
 
 
 def _sampled(bronze: DataFrame) -> DataFrame:
-    """Weights of sampled profiles by frame; weights of another number than the samples are all 1."""
+    """Weights of sampled profiles by frame; weights of another number than the samples are all 1.
+
+    A sample is paired with its weight, and the weights are summed, before the
+    samples become rows: no row of a sample holds the profile's arrays.
+    """
     fit = F.size(F.coalesce("weights", F.array().cast("array<double>"))) == F.size("samples")
-    own = F.when(fit, F.col("weights")).otherwise(F.transform("samples", lambda s: F.lit(1.0)))
-    whole = F.aggregate(own, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    rows = bronze.where("profile_type = 'sampled'").select(F.col("id").alias("profile_id"), F.size("frames").alias("n_frames"), whole.alias("whole"), F.posexplode("samples").alias("at", "stack"), own.alias("own"))
-    rows = rows.select("profile_id", "n_frames", "whole", "stack", F.coalesce(F.get("own", "at"), F.lit(0.0)).alias("weight"))
+    # one sum a profile; without weights it is the number of samples
+    whole = F.when(fit, F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))).otherwise(F.size("samples").cast("double"))
+    weighed = F.transform("samples", lambda s, i: F.struct(s.alias("stack"), F.when(F.col("fit"), F.coalesce(F.get("weights", i), F.lit(0.0))).otherwise(F.lit(1.0)).alias("weight")))
+    rows = bronze.where("profile_type = 'sampled' and samples is not null").select(F.col("id").alias("profile_id"), F.size("frames").alias("n_frames"), "samples", "weights", fit.alias("fit"), whole.alias("whole"))
+    rows = rows.select("profile_id", "n_frames", "whole", F.explode(weighed).alias("x")).select("profile_id", "n_frames", "whole", "x.stack", "x.weight")
     found = sampled_weights(rows, ["profile_id", "n_frames", "whole"])
     return found.where("frame >= 0 and frame < n_frames").select("profile_id", F.col("frame").alias("frame_index"), *_WEIGHTS, "whole")
 
@@ -165,7 +172,7 @@ def _evented(bronze: DataFrame) -> DataFrame:
                 out += [(r.id, frame, own, total, n, r.whole) for frame, (own, total, n) in found.items() if 0 <= frame < r.n]
             yield pd.DataFrame(out, columns=["profile_id", "frame_index", *_WEIGHTS, "whole"])
 
-    return rows.mapInPandas(run, "profile_id string, frame_index int, self_weight double, total_weight double, call_count long, whole double")
+    return spread_out(rows, "id").mapInPandas(run, "profile_id string, frame_index int, self_weight double, total_weight double, call_count long, whole double")
 
 
 def well_formed(events: DataFrame, keys: list[str], order: str = "at_pos") -> DataFrame:
@@ -206,11 +213,16 @@ def evented_weights(events: DataFrame, keys: list[str], order: str = "at_pos") -
     return out.select(*keys, "frame", F.coalesce("self_weight", F.lit(0.0)).alias("self_weight"), F.coalesce("total_weight", F.lit(0.0)).alias("total_weight"), "call_count")
 
 
-def function_stats(bronze: DataFrame) -> DataFrame:
-    """Statistics of every frame that a profile's samples or events name."""
+def function_stats(bronze: DataFrame, profile_name: bool = False) -> DataFrame:
+    """Statistics of every frame that a profile's samples or events name; ``profile_name`` adds the profile's name.
+
+    Spark's estimate of what JSON holds is far too small, so that it would
+    broadcast the frames of any number of profiles: they are merged.
+    """
     weights = _sampled(bronze).unionByName(_evented(bronze))
-    rows = weights.join(frame_rows(bronze).drop("col"), ["profile_id", "frame_index"])
+    rows = weights.join(frame_rows(bronze, profile_name).drop("col").hint("merge"), ["profile_id", "frame_index"])
     return rows.select(
+        *(["profile_name"] if profile_name else []),
         "profile_id", "frame_index", "name", *_WEIGHTS,
         percentage(F.col("self_weight"), F.col("whole")).alias("self_percentage"),
         percentage(F.col("total_weight"), F.col("whole")).alias("total_percentage"),

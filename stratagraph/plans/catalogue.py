@@ -493,8 +493,7 @@ def ingest_speedscope(t: Tables) -> DataFrame:
     profile = F.struct(F.lit("sampled").alias("type"), F.lit("run").alias("name"), F.lit("none").alias("unit"), "samples")
     texts = days.select(F.concat("day", F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.struct(frames_.alias("frames")).alias("shared"), F.array(profile).alias("profiles"))).alias("json"))
     bronze = profiles.bronze_profiles(profiles.checked(profiles.parse_speedscope(texts)))
-    stats = profiles.function_stats(bronze).join(bronze.select(F.col("id").alias("profile_id"), F.col("name").alias("profile_name")), "profile_id")
-    return stats.select("profile_name", "name", "self_weight", "total_weight", "call_count", "self_percentage")
+    return profiles.function_stats(bronze, profile_name=True).select("profile_name", "name", "self_weight", "total_weight", "call_count", "self_percentage")
 
 
 @_query("""with f as (select 'pkg/' || p_brand || '/m' || p_partkey || case p_partkey % 3 when 0 then '.py' when 1 then '.CS' else '.txt' end as file_path from part)

@@ -187,8 +187,7 @@ def evented_nested(t: Tables) -> DataFrame:
     names = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("boot", "walk", "stray", "open")])
     texts = t.read("part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("source_file"), F.to_json(F.struct(F.struct(names.alias("frames")).alias("shared"), F.array(profile).alias("profiles"))).alias("json"))
     bronze = profiles.bronze_profiles(profiles.checked(profiles.parse_speedscope(texts)))
-    stats = profiles.function_stats(bronze).join(bronze.select(F.col("id").alias("profile_id"), F.col("name").alias("profile_name")), "profile_id")
-    return stats.select("profile_name", "name", "self_weight", "total_weight", "call_count", "self_percentage")
+    return profiles.function_stats(bronze, profile_name=True).select("profile_name", "name", "self_weight", "total_weight", "call_count", "self_percentage")
 
 
 # --- sources ---

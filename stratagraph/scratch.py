@@ -15,6 +15,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Tasks for each core that rows are dealt out to where Python takes long for each.
+TASKS_A_CORE = 3
+
 #: Tables written and not yet deleted, by the scope that is open, the innermost last.
 _open: list[dict[str, DataFrame]] = []
 
@@ -75,6 +78,13 @@ def scope() -> Iterator[list[DataFrame]]:
                 _open[-1][path] = df
 
 
+def spread_out(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` to all cores: what Spark reads a table by are its bytes, which say nothing of how long a row takes."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)
+
+
 def numbered(rows: DataFrame, name: str, after: int = 0) -> DataFrame:
     """``rows`` with consecutive numbers from ``after + 1``, in the order of sorted rows.
 
