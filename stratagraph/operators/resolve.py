@@ -50,9 +50,9 @@ def nodes_of(extracted: DataFrame, repo_path: str, modules: bool = True, after:
         ))
     rows = rows.withColumn("id", node_id(repo_path, F.col("file_path"), F.col("name"), F.col("start_line")))
     rows = rows.groupBy("id").agg(F.max_by(F.struct(*rows.drop("id").columns), F.col("ordinal")).alias("r")).select("id", "r.*")
-    # a file's rank among files, and the place within it
+    # a file's rank among files, and the place within it; merged, as estimates from a table's bytes say nothing of the nodes in its files
     files = numbered(rows.select("file_path").distinct().orderBy("file_path"), "rank", -(-after // RECORDS))
-    rows = rows.join(files, "file_path").withColumn("seq", F.col("rank") * F.lit(RECORDS) + F.col("ordinal") + 1)
+    rows = rows.join(files.hint("merge"), "file_path").withColumn("seq", F.col("rank") * F.lit(RECORDS) + F.col("ordinal") + 1)
     return rows.select("id", F.lit(repo_path).alias("repo_path"), "file_path", "node_type", "name", "qualified_name", "start_line", "start_column", "end_line", "end_column", "signature", "docstring", "metadata", "seq")
 
 

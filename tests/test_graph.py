@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratagraph.operators import graph
+import __spark_entry__
+from stratagraph.operators import graph, resolve
 from stratagraph.store import Store, latest
 
 
@@ -89,3 +90,10 @@ def test_containing_node(spark):
 def test_latest(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, v int")
     assert sorted(map(tuple, latest(df, ["k"], F.col("v")).collect())) == [("a", 3), ("b", 2)]
+
+
+def test_nodes_are_not_broadcast_for_their_numbers(spark):
+    """A table of few bytes can hold any number of nodes once it is made files."""
+    rows = __spark_entry__.rules._two_files(__spark_entry__.catalogue.Tables(spark, __spark_entry__.FLAGSHIP_DIR))
+    plan = resolve.nodes_of(rows, "r")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
