@@ -56,11 +56,11 @@ def all_nodes(nodes: DataFrame, repo_path: str | None = None) -> DataFrame:
 
 
 def all_edges(nodes: DataFrame, edges: DataFrame, repo_path: str | None = None) -> DataFrame:
-    """Edges that begin in a repository."""
+    """Edges that begin in a repository; any number of nodes is merged, not broadcast."""
     if not repo_path:
         return edges
     own = nodes.where(F.col("repo_path") == repo_path).select(F.col("id").alias("source_id"))
-    return edges.join(own, "source_id", "left_semi").select(*edges.columns)
+    return edges.join(own.hint("merge"), "source_id", "left_semi").select(*edges.columns)
 
 
 def symbol_info(nodes: DataFrame, name: str, repo_path: str, qualified_name: str | None = None, kind: str | None = None) -> DataFrame:

@@ -104,7 +104,7 @@ def store_clear_file(t: Tables) -> DataFrame:
 def code_graph_round_trip(t: Tables) -> DataFrame:
     """Into a store and out of it, in two parts."""
     nodes, edges = t.nodes().withColumns({c: F.lit(v) for c, v in _PLACES.items()}).where("repo_path in ('P', 'lib')"), t.edges()
-    edges = edges.join(nodes.where("repo_path = 'P'").select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*edges.columns)
+    edges = edges.join(nodes.where("repo_path = 'P'").select(F.col("id").alias("source_id")).hint("merge"), "source_id", "left_semi").select(*edges.columns)
     store = Store(t.spark)
     half = F.col("edge_type") == "calls"
     from_code_graph(store, CodeGraph(nodes.limit(0), edges.where(half).limit(0)).add_nodes(nodes).add_edges(edges.where(half)).add_edges(edges.where(~half)), "P")

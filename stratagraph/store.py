@@ -47,8 +47,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose ends are among ``nodes``."""
-    ids = nodes.select("id")
+    """Edges both of whose ends are among ``nodes``.
+
+    Ids are merged: of a table of many columns the few that are read are
+    estimated to be small however many rows it has, and a broadcast of them
+    is held by each task.
+    """
+    ids = nodes.select("id").hint("merge")
     kept = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
     return kept.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stratagraph.operators import graph, resolve
-from stratagraph.store import Store, latest
+from stratagraph.store import Store, latest, without_dangling
 
 
 def node(i, name=None, file="a.py", repo="/r", kind="function", line=1, end=None, q=None):
@@ -97,3 +97,9 @@ def test_nodes_are_not_broadcast_for_their_numbers(spark):
     rows = __spark_entry__.rules._two_files(__spark_entry__.catalogue.Tables(spark, __spark_entry__.FLAGSHIP_DIR))
     plan = resolve.nodes_of(rows, "r")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [file_path" in plan and "BroadcastHashJoin [file_path" not in plan
+
+
+def test_node_ids_are_not_broadcast(store):
+    """However small the ids are estimated to be: a broadcast of them is held by each task."""
+    for df in (without_dangling(store.edges, store.nodes), graph.all_edges(store.nodes, store.edges, "/r")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 7
