@@ -28,34 +28,41 @@ def match_frames(frames: DataFrame, nodes: DataFrame, repo_path: str, key: str =
     n = nodes.where(F.col("repo_path") == repo_path).select(F.col("name").alias("function_name"), F.col("qualified_name").alias("q"), F.col("file_path"), "start_line", "end_line", F.struct("seq", "id").alias("at"))
     # only nodes that a frame may mean; those at a frame's line count whatever their name
     named = n.join(f.select("function_name").distinct(), "function_name", "left_semi")
+    # Tables are merged, not broadcast: they may hold a row for each node, however small their estimates.  Names are
+    # cut up only into pieces of a size that a frame of that name asks for.  Pieces are grouped by one struct, so that
+    # they are combined and dealt out anew: those of a hot name needn't be in one task.
     first = lambda df, *by: df.groupBy(*by).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    wanted = lambda column, size: f.where(F.col(column).isNotNull()).groupBy("function_name").agg(F.collect_set(size).alias("sizes")).hint("merge")
+    sized = lambda pieces, size: F.array_distinct(F.filter(pieces, lambda x: F.array_contains("sizes", size(x))))
+    parts = lambda c: F.size(F.split(c, r"\."))
+    full = named.where("q is not null")
 
     # a node is found by every dotted ending of its qualified name
     dotted = F.split("q", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda k: F.array_join(F.slice(dotted, k, F.size(dotted)), "."))
-    by_tail = named.where("q is not null").select("function_name", "q", "at", F.explode(F.array_distinct(tails)).alias("qualified_name"))
-    by_tail = by_tail.groupBy("function_name", "qualified_name").agg(F.min(F.struct("at", (F.col("q") == F.col("qualified_name")).alias("equal"))).alias("x"))
-    by_tail = by_tail.select("function_name", "qualified_name", F.col("x.at").alias("at"), "x.equal")
+    tails = F.transform(F.array_intersect("sizes", F.sequence(F.lit(1), F.size(dotted))), lambda k: F.array_join(F.slice(dotted, F.size(dotted) - k + 1, k), "."))
+    by_tail = full.join(wanted("qualified_name", parts("qualified_name")), "function_name").select("function_name", "q", "at", F.explode(tails).alias("qualified_name"))
+    by_tail = by_tail.groupBy(F.struct("function_name", "qualified_name").alias("k")).agg(F.min(F.struct("at", (F.col("q") == F.col("qualified_name")).alias("equal"))).alias("x"))
+    by_tail = by_tail.select("k.*", F.col("x.at").alias("at"), "x.equal")
 
     # and by its classes: runs of whole parts with a dot on either side, or any end of what stands before its name
     part_ends = F.sequence(F.lit(1), F.size(dotted) - 2)
     runs = F.flatten(F.transform(part_ends, lambda i: F.transform(F.sequence(i, F.size(dotted) - 2), lambda j: F.array_join(F.slice(dotted, i + 1, j - i + 1), "."))))
     runs = F.when(F.size(dotted) > 2, runs).otherwise(F.array().cast("array<string>"))
     before = F.substr(F.col("q"), F.lit(1), F.length("q") - F.length("function_name") - 1)
-    ends = F.transform(F.sequence(F.lit(1), F.length(before)), lambda k: F.substr(before, k))
+    ends = F.transform(F.filter("sizes", lambda k: (k >= 1) & (k <= F.length(before))), lambda k: F.substr(before, F.length(before) - k + 1))
     ends = F.when(F.endswith("q", F.concat(F.lit("."), "function_name")) & (F.length(before) > 0), ends).otherwise(F.array().cast("array<string>"))
-    classed = named.where("q is not null").join(f.where("class_name is not null").select("function_name").distinct(), "function_name", "left_semi")
-    in_class = first(classed.select("function_name", "at", F.explode(F.array_distinct(F.concat(runs, ends))).alias("class_name")), "function_name", "class_name")
-    class_in_file = first(classed.select("function_name", "file_path", "at", F.explode(F.array_distinct(runs)).alias("class_name")), "function_name", "file_path", "class_name")
+    classed = full.join(wanted("class_name", F.length("class_name")), "function_name")
+    in_class = first(classed.select("function_name", "at", F.explode(sized(F.concat(runs, ends), F.length)).alias("class_name")), F.struct("function_name", "class_name").alias("k")).select("k.*", "at", "n")
+    class_in_file = first(classed.select("function_name", "file_path", "at", F.explode(sized(runs, F.length)).alias("class_name")), F.struct("function_name", "file_path", "class_name").alias("k")).select("k.*", "at", "n")
 
     at_line = first(n, "file_path", F.col("start_line").alias("line_number"))
     spot = f.where("file_path is not null and line_number is not null")
-    around = spot.select("key", "file_path", "line_number", "function_name").join(named, ["file_path", "function_name"]).where("line_number between start_line and end_line").groupBy("key").agg(F.min("at").alias("around"))
+    around = spot.select("key", "file_path", "line_number", "function_name").join(named.hint("merge"), ["file_path", "function_name"]).where("line_number between start_line and end_line").groupBy("key").agg(F.min("at").alias("around"))
 
     def found(df: DataFrame, table: DataFrame, name: str, *by: str) -> DataFrame:
-        return df.join(table.select(*by, *[F.col(c).alias(name if c == "at" else f"{name}_{c}") for c in table.columns if c not in by]), list(by), "left")
+        return df.join(table.select(*by, *[F.col(c).alias(name if c == "at" else f"{name}_{c}") for c in table.columns if c not in by]).hint("merge"), list(by), "left")
 
-    both = found(f, at_line, "line", "file_path", "line_number").join(around, "key", "left")
+    both = found(f, at_line, "line", "file_path", "line_number").join(around.hint("merge"), "key", "left")
     both = found(both, by_tail, "tail", "function_name", "qualified_name")
     both = found(both, first(named, "function_name", "file_path"), "file", "function_name", "file_path")
     both = found(both, class_in_file, "file_class", "function_name", "file_path", "class_name")

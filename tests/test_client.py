@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratagraph.client import Client
 from stratagraph.functions.frames import FrameNormaliser, FrameParser, normalise
@@ -273,3 +274,16 @@ def test_all_ways_to_match(spark):
         "class in file": ("u2", 0.85, "Name and file match"), "file": ("v1", 0.85, "Name and file match"), "class": ("u2", 0.8, "Name and class match"), "class end": ("u1", 0.8, "Name and class match"),
         "run": ("u2", 0.8, "Name and class match"), "alone": ("w1", 0.7, "Unique name match"), "guess": ("x1", 0.6, "Best guess from 2 matches"), "inner": ("u2", 0.8, "Name and class match"),
     }
+
+
+def test_tables_of_matches_are_small_and_not_broadcast(spark):
+    """Only endings of a length that is asked for are made, and of tables with a row for each node none is held by each task."""
+    nodes = spark.createDataFrame([(f"n{k}", "/r", "m", "f", f"app.Class{k}.f", 1, 2, k) for k in range(50)], "id string, repo_path string, file_path string, name string, qualified_name string, start_line int, end_line int, seq long")
+    given = {"name": "k", "function_name": "f", "class_name": "ss7", "qualified_name": "Class9.f", "language": "unknown"}
+    empty = {"namespace": "string", "file_path": "string", "line_number": "int", "column": "int", "metadata": "string"}
+    frames = spark.createDataFrame([given]).select("*", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+    found = match_frames(frames.withColumn("qualified_name", F.lit(None).cast("string")).union(frames.withColumn("name", F.lit("q"))), nodes, "/r")
+    assert sorted((r["name"], r["symbol_id"]) for r in found.collect()) == [("k", "n7"), ("q", "n9")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" not in x]
+    assert not [x for x in plan.splitlines() if "Generate explode" in x and "sizes" not in x]
