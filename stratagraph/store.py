@@ -29,6 +29,8 @@ from .scratch import discard, materialise, numbered, shared_dir
 
 #: Segments of one tag in a table; beyond it they are written together as one.
 SEGMENTS = 32
+#: Ids that may be broadcast.
+BROADCAST_IDS = 200_000
 
 
 class ConcurrentChange(RuntimeError):
@@ -64,11 +66,9 @@ def cascade(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return kept.join(removed.select(F.col("id").alias("target_id")), "target_id", "left_anti").select(*edges.columns)
 
 
-def touching(edges: DataFrame, removed: DataFrame) -> DataFrame:
-    """Edges an end of which is among the ``removed`` nodes (``id``); one that both ends of are comes twice."""
-    ids = removed.select("id")
-    ends = [edges.join(ids.withColumnRenamed("id", end), end, "left_semi").select(*edges.columns) for end in ("source_id", "target_id")]
-    return ends[0].unionByName(ends[1])
+def few_or_merged(ids: DataFrame) -> DataFrame:
+    """A written table of ids: left to the planner while they are few, else merged whatever size is estimated."""
+    return ids if ids.count() <= BROADCAST_IDS else ids.hint("merge")
 
 
 def with_symbols(stats: DataFrame, found: DataFrame, keys: list[str], which: Column) -> DataFrame:
@@ -202,30 +202,37 @@ class Store:
         some = [s for s in self._segments(table) if repo_path is None or s[1] in (None, repo_path)]
         return self._read(table, some).drop("_segment")
 
-    def _append(self, table: str, df: DataFrame, tag: str | None = None) -> DataFrame:
-        """Write rows as a segment; returns them as written. Many segments of a tag become one."""
+    def _write(self, table: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Write rows as a segment that no manifest names yet; returns its name and the rows as written."""
         new = uuid.uuid4().hex
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
-        rows.write.parquet(f"{self.path}/{table}/{new}")
+        at = f"{self.path}/{table}/{new}"
+        df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.parquet(at)
+        return new, self.spark.read.schema(TABLES[table]).parquet(at)
+
+    def _append(self, table: str, df: DataFrame, tag: str | None = None) -> DataFrame:
+        """Write rows as a segment; returns them as written."""
+        new, written = self._write(table, df)
+        self._add(table, new, tag)
+        return written
+
+    def _add(self, table: str, new: str, tag: str | None) -> None:
+        """Name a segment that was written. Many segments of a tag become one."""
         with self.change():
             self._segments(table).append([new, tag])
             same = [s for s in self._segments(table) if s[1] == tag]
             if len(same) > SEGMENTS:
                 self._replace(table, same, self._read(table, same).drop("_segment"), tag)
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{new}")
 
     def _replace(self, table: str, segments: list[list], rows: DataFrame | None, tag: str | None) -> None:
         """Put ``rows``, if any, in the place of some segments."""
         gone = {s for s, _ in segments}
         kept = [s for s in self._segments(table) if s[0] not in gone]
         if rows is not None:
-            new = uuid.uuid4().hex
-            rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.parquet(f"{self.path}/{table}/{new}")
-            kept.append([new, tag])
+            kept.append([self._write(table, rows)[0], tag])
         self._current()["tables"][table] = kept
 
-    def _rewrite(self, table: str, found: Callable[[DataFrame], DataFrame], into: Callable[[DataFrame], DataFrame]) -> None:
-        """Rewrite by ``into`` the segments that hold a row which ``found`` picks; others aren't written.
+    def _rewrite(self, table: str, found: Callable[[DataFrame], DataFrame] | None, into: Callable[[DataFrame], DataFrame], hit: set[str] | None = None) -> None:
+        """Rewrite by ``into`` the segments that hold a row which ``found`` picks, or those of ``hit``; others aren't written.
 
         ``found`` keeps the column ``_segment``; what is collected are names of
         segments, of which compaction keeps few.
@@ -233,7 +240,8 @@ class Store:
         every = self._segments(table)
         if not every:
             return
-        hit = {r["_segment"] for r in found(self._read(table, every)).select("_segment").distinct().collect()}
+        if hit is None:
+            hit = {r["_segment"] for r in found(self._read(table, every)).select("_segment").distinct().collect()}
         for tag in sorted({t for s, t in every if s in hit}, key=lambda t: (t is not None, t)):
             some = [s for s in every if s[0] in hit and s[1] == tag]
             self._replace(table, some, into(self._read(table, some).drop("_segment")), tag)
@@ -295,19 +303,47 @@ class Store:
         with self.change() as now:
             new = self._frame(rows, "nodes")
             new = new.withColumn("seq", F.coalesce(F.col("seq"), F.lit(now["seq"] + 1) + F.monotonically_increasing_id()))
-            new = materialise(latest(new, ["id"], F.col("seq")), "put-nodes")
-            ids = new.select("id")
-            if self._segments("nodes"):
-                if not keep_edges and self._segments("edges"):
-                    replaced = self.nodes.join(ids, "id", "left_semi").select("id")
-                    self._drop_edges(replaced)
-                self._rewrite("nodes", lambda df: df.join(ids, "id", "left_semi"), lambda df: df.join(ids, "id", "left_anti"))
-            self._append("nodes", new, repo_path)
-            now["seq"] = max(now["seq"], new.agg(F.max("seq")).first()[0] or 0)
-            discard(new)
+            segment, new = self._write("nodes", latest(new, ["id"], F.col("seq")))
+            try:
+                ids = few_or_merged(new.select("id"))
+                if self._segments("nodes"):
+                    if not keep_edges and self._segments("edges"):
+                        replaced = materialise(self.nodes.join(ids, "id", "left_semi").select("id"), "replaced")
+                        self._drop_edges(replaced)
+                        discard(replaced)
+                    self._rewrite("nodes", lambda df: df.join(ids, "id", "left_semi"), lambda df: df.join(ids, "id", "left_anti"))
+                last = new.agg(F.max("seq")).first()[0] or 0
+            except BaseException:
+                self._fs.delete(self._path(f"{self.path}/nodes/{segment}"), True)
+                raise
+            self._add("nodes", segment, repo_path)
+            now["seq"] = max(now["seq"], last)
 
     def _drop_edges(self, removed: DataFrame) -> None:
-        self._rewrite("edges", lambda df: touching(df, removed), lambda df: cascade(df, removed))
+        """Rewrite the segments of edges that touch ``removed`` (``id``, a written table), without those edges.
+
+        The removed nodes that edges have at an end are found from ids alone
+        and written; whole edges are shuffled only for an end that has any,
+        and where these are few, for none.
+        """
+        every = self._segments("edges")
+        if not every or removed.isEmpty():
+            return
+        edges, gone, found = self._read("edges", every), few_or_merged(removed.select("id")), {}
+        for end in ("source_id", "target_id"):
+            both = edges.select(end, "_segment").join(gone.withColumnRenamed("id", end), end, "left_semi")
+            found[end] = materialise(both.groupBy(F.struct(end, "_segment").alias("k")).count().select("k.*"), "ends")  # one struct: a hot end's rows are combined first
+        hit = {r["_segment"] for x in found.values() for r in x.select("_segment").distinct().collect()}
+        ends = {end: few_or_merged(x.select(end)) for end, x in found.items() if not x.isEmpty()}
+
+        def kept(df: DataFrame) -> DataFrame:
+            for end, rows in ends.items():
+                df = df.join(rows, end, "left_anti")
+            return df
+
+        self._rewrite("edges", None, kept, hit)
+        for x in found.values():
+            discard(x)
 
     def put_edges(self, rows: Iterable[dict] | DataFrame, check: bool = True, repo_path: str | None = None) -> int:
         """Append edges and number them; returns the largest number.

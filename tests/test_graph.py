@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from stratagraph import store as stores
 from stratagraph.operators import graph, resolve
 from stratagraph.store import Store, latest, without_dangling
 
@@ -103,3 +104,25 @@ def test_node_ids_are_not_broadcast(store):
     """However small the ids are estimated to be: a broadcast of them is held by each task."""
     for df in (without_dangling(store.edges, store.nodes), graph.all_edges(store.nodes, store.edges, "/r")):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 7
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_edges_are_joined_for_the_ends_that_were_removed(spark, monkeypatch, few):
+    monkeypatch.setattr(stores, "BROADCAST_IDS", few, raising=False)
+    plans, replace = [], Store._replace
+
+    def noted(self, table, segments, rows, tag):
+        if table == "edges" and rows is not None:
+            plans.append((len(segments), rows._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti")))
+        replace(self, table, segments, rows, tag)
+
+    monkeypatch.setattr(Store, "_replace", noted)
+    s = Store(spark)
+    s.put_nodes([node("a", repo="/x"), node("b", repo="/x"), node("c"), node("d")])
+    s.put_edges([edge("a", "c"), edge("c", "d"), edge("b", "d")])
+    s.put_edges([edge("c", "d"), edge("d", "c"), edge("d", "d")])
+    left = lambda: sorted((r["source_id"], r["target_id"]) for r in s.edges.collect())
+    s.clear_repo("/x")  # sources of the first segment only
+    assert plans == [(1, 1)] and left() == [("c", "d"), ("c", "d"), ("d", "c"), ("d", "d")]
+    s.put_nodes([node("c", line=9), node("e")])  # c is a source and a target
+    assert plans[1:] == [(2, 2)] and left() == [("d", "d")] and ids(s.nodes) == ["c", "d", "e"]
